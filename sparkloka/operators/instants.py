@@ -74,7 +74,7 @@ def _lookup(values: dict[int, str] | dict[str, int], key: Column) -> Column:
 
 
 def _tidy(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(raw, r"[\s   ]+", " "))
+    return F.trim(F.regexp_replace(raw, r"[\s\p{Z}\x{200B}\x{FEFF}]+", " "))
 
 
 def _canonical_us(raw: Column) -> Column:
