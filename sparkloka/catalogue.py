@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from sparkloka.operators import instants
+from sparkloka.plans import text_queries  # noqa: F401
+from sparkloka.plans.registry import QUERIES, SQL, Query
 from sparkloka.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
-def _tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tables(s, d):
     return table(s, d, "social_bootstrap"), table(s, d, "city_zones"), table(s, d, "scrape_sites")
 
 
 def queries() -> dict[str, Query]:
     return {
+        **QUERIES,
         "p4_found": lambda s, d: instants.found(*_tables(s, d)),
         "p4_instants": lambda s, d: instants.post_instants(*_tables(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
