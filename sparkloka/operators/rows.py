@@ -42,7 +42,7 @@ def hash_rank_split(df: DataFrame, label: str, id_col: str, shares: tuple[int, i
     The rank is cut by the label's count, so every label is split 70/15/15 as nearly as its count allows. Large labels
     are ranked in cells of the hash: the rank within a cell plus the sizes of the cells before."""
     h = F.sha2(F.col(id_col).cast("string"), 256)
-    rows = df.withColumn("__h", h).withColumn("__cell", F.substring("__h", 1, 2))
+    rows = df.withColumn("__h", h).withColumn("__cell", F.substring("__h", 1, 3))
     cells = rows.groupBy(label, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(label).orderBy("__cell")
     cells = cells.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy(label)))

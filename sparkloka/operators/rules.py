@@ -19,7 +19,12 @@ def ngrams(c: Column, most: int = 4) -> Column:
     """Runs of one to ``most`` words of a lower-cased text; other characters part runs, so none crosses a comma."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"([^\p{{L}}\p{{N}}_\s])", " $1 "), r"\s+"), lambda w: w != "")
     size = F.size(words)
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, most + 1)]
+
+
+    def run(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    runs = [run(n) for n in range(1, most + 1)]
     return F.array_distinct(F.concat(*runs))
 
 
