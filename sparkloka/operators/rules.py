@@ -34,7 +34,7 @@ def _keys(words: str) -> list[str]:
 
 
 def _hits(grams: Column, words: list[str]) -> Column:
-    return F.array_intersect(grams, F.array(*[F.lit(w) for w in words])) if words else F.array().cast("array<string>")
+    return F.array_intersect(grams, F.split(F.lit("|".join(words)), r"\|")) if words else F.array().cast("array<string>")
 
 
 def label(df: DataFrame, text: str, context: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def _rule_sql(source: str) -> str:
         terms = []
         for kw in rule["keywords"].split("|"):
             hit = S.contains_word("t", kw)
-            terms.append(f"(CASE WHEN {hit} THEN 1.0" + (f" WHEN {S.contains_word('c', kw)} THEN 0.75" if rule["context"] else "") + " ELSE 0 END)")
+            terms.append(f"(CASE WHEN {hit} THEN 1.0::DOUBLE" + (f" WHEN {S.contains_word('c', kw)} THEN 0.75::DOUBLE" if rule["context"] else "") + " ELSE 0 END)")
         if name == "COMPLAINT":
             terms += [f"(CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END)" for p, w in COMPLAINT_PATTERNS]
         veto = " OR ".join(S.contains_word("t", v) for v in rule["vetoes"].split("|") if v) or "FALSE"
