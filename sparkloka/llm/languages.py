@@ -15,6 +15,7 @@ sentences; repeated rows are one record; a tag that names no language counts as
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -136,27 +137,37 @@ def fit(rows: list[tuple[str, str]]) -> Filters:
 
 class Detector:
     def __init__(self, filters: Filters) -> None:
-        self.filters = filters
+        self.slots = array("H", filters.slots.tobytes())
         self.rates = np.array(filters.false_rates())
         self.seen: dict[str, np.ndarray] = {}
-        n = len(LANGUAGES)
-        self.weight = [0.0] + [math.log2(n / k) for k in range(1, n + 1)]
+        self.by_mask: dict[int, np.ndarray] = {0: np.zeros(len(LANGUAGES))}
+
+    def share(self, mask: int) -> np.ndarray:
+        """What an n-gram found in these languages counts for each: rarer sharing more, less the false positives."""
+        hit = self.by_mask.get(mask)
+        if hit is None:
+            bits = np.array([mask >> i & 1 for i in range(len(LANGUAGES))], float)
+            hit = self.by_mask[mask] = math.log2(len(LANGUAGES) / mask.bit_count()) * np.maximum(bits - self.rates, 0)
+        return hit
 
     def evidence(self, word: str) -> np.ndarray:
         """Corrected, weighted popcount of a word's n-grams for each language."""
         hit = self.seen.get(word)
         if hit is None:
+            gs, slots, masks = grams(word), self.slots, []
+            for g in gs:
+                x, y, z = Filters.places(g)
+                masks.append(slots[x] & slots[y] & slots[z])
+            part = 0.5 / math.sqrt(len(gs))
             total = np.zeros(len(LANGUAGES))
-            gs = grams(word)
-            for k, g in enumerate(gs):
-                mask = self.filters.languages(g)
+            for mask, n in Counter(masks).items():
                 if mask:
-                    bits = np.array([mask >> i & 1 for i in range(len(LANGUAGES))], float)
-                    whole = k == 0 and g.startswith("=")
-                    total += (2.0 if whole else 0.5 / math.sqrt(len(gs))) * self.weight[mask.bit_count()] * np.maximum(bits - self.rates, 0)
-            hit = self.seen[word] = total
+                    total += n * part * self.share(mask)
+            if gs[0][0] == "=" and masks[0]:
+                total += (2.0 - part) * self.share(masks[0])
             if len(self.seen) > 300_000:
                 self.seen.clear()
+            hit = self.seen[word] = total
         return hit
 
     def pieces(self, text: str) -> list[str]:

@@ -108,6 +108,13 @@ def _closing_lower(lang: str):
     return regex.compile(rf"(?<={_WORD_START}(?i:{ends})\.)(?=\s*[\p{{Ll}}\p{{N}}])", regex.V1)
 
 
+@lru_cache(1)
+def _short() -> list:
+    """The cascade where no abbreviation, number or initial stands before the mark."""
+    first, _, last = _tables()
+    return [*first, last[-1]]
+
+
 @lru_cache(64)
 def _cascade(lang: str) -> list:
     first, own, last = _tables()
@@ -118,6 +125,15 @@ def _cascade(lang: str) -> list:
     return [*first, *[r for x in order for r in own[x]], *last]
 
 
+@lru_cache(1)
+def _last_parts() -> frozenset[str]:
+    """What may stand right before an abbreviation's dot: no table's rule can fit behind any other longer word."""
+    words = [w for t in [*INNER.values(), *(x[0] for x in CLOSING.values())] for w in regex.split(r"(?<!\\) ", t)]
+    return frozenset(regex.split(r"[.\s\\]+", w)[-1].lower() for w in words)
+
+
+_RUN = regex.compile(r"[\p{L}\p{M}\p{N}]{1,16}$")
+
 _SCRIPTS = [("ru", regex.compile(r"\p{Cyrillic}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}"))]
 _LATIN = regex.compile(r"\p{Latin}")
 _TAIL_RE = regex.compile(_TAIL, regex.V1)
@@ -127,6 +143,25 @@ _JOINED = regex.compile(r"[\p{Latin}\p{N}]")
 _CAPITAL = regex.compile(r"\p{Lu}")
 
 
+_ADDRESS_HINT = regex.compile(r"@|://|[wW]{3}\.|\.(?i:example|com|net|org|id|co|io)(?!\w)")
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Addresses and links, looked for only in runs without white space that hold a sign of one."""
+    out, done = [], 0
+    for hint in _ADDRESS_HINT.finditer(text):
+        a, b = hint.start(), hint.end()
+        if a < done:
+            continue
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        out += [(a + m.start(), a + m.end(), "a") for m in _ADDRESS.finditer(text[a:b])]
+        done = b
+    return out
+
+
 def _paragraph(text: str, lang: str | None) -> list[int]:
     """Ends of sentences within one paragraph, without its own end."""
     near = {}
@@ -134,7 +169,7 @@ def _paragraph(text: str, lang: str | None) -> list[int]:
         near[m.start()] = m.end()
     spans: list[tuple[int, int, str]] = [(a, b, "b") for a, b in near.items()]
     spans += [(m.start(), m.end(), "q") for m in _QUOTES.finditer(text)]
-    spans += [(m.start(), m.end(), "a") for m in _ADDRESS.finditer(text)]
+    spans += _addresses(text)
     spans.sort(key=lambda s: (s[0], -s[1]))
     outer: list[tuple[int, int, str]] = []
     for s in spans:
@@ -145,6 +180,7 @@ def _paragraph(text: str, lang: str | None) -> list[int]:
     events += [s for s in outer if s[2] == "q"]
     events.sort()
     opens = [s[0] for s in outer if s[2] != "a"]
+    last, short = _last_parts(), _short()
 
     def tail_end(b: int) -> int:
         """Behind the quotes and emoji that follow a mark; a quote that opens speech isn't one of them."""
@@ -190,8 +226,10 @@ def _paragraph(text: str, lang: str | None) -> list[int]:
                     pass  # full-width and other final marks always end, outside quotes and brackets
                 else:
                     decided = None
-                    low = _closing_lower(script).match(text, pos) if mark == "." else None
-                    for breaks, pattern in _cascade(script):
+                    run = _RUN.search(text, max(begin, a - 16), a) if mark == "." and b == a + 1 else None
+                    plain = run is not None and len(run[0]) > 1 and not run[0].isdigit() and run[0].lower() not in last
+                    low = _closing_lower(script).match(text, pos) if mark == "." and not plain else None
+                    for breaks, pattern in (short if plain or mark in "!?؟" else _cascade(script)):
                         if low is not None and breaks and pattern.pattern == "(?<=)(?=)":
                             decided = not capitals or not _CAPITAL.search(text, begin, pos)
                             break
