@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparkloka.operators import instants
-from sparkloka.plans import corpus_queries, entity_queries, label_queries, place_queries, score_queries, stream_queries, text_queries  # noqa: F401
+from sparkloka.plans import corpus_queries, entity_queries, label_queries, place_queries, score_queries, source_queries, stream_queries, text_queries  # noqa: F401
 from sparkloka.plans.registry import QUERIES, SQL, Query
 from sparkloka.runtime import table
 
