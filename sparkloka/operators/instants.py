@@ -105,7 +105,7 @@ def parse_raw(df: DataFrame, raw: str = "raw", zone: str = "zone") -> DataFrame:
     at = F.when(F.col("__z").isNotNull(), F.unix_micros("__wall") - minutes.cast("long") * 60_000_000).when(F.col(zone).isNotNull(), local)
     size, whole = F.length("__t"), F.col("__t").try_cast("long")
     unix = F.when(
-        F.col("__t").rlike(r"^\d{9,20}$"),
+        F.col("__t").rlike(r"^\d{9,19}$"),
         F.when(size <= 11, whole * 1_000_000).when(size <= 14, whole * 1_000).when(size <= 17, whole).otherwise((F.col("__t").try_cast("decimal(20,0)") / 1000).try_cast("decimal(20,3)").try_cast("long")),
     ).when(F.col("__t").rlike(r"^\d{9,11}[.]\d+$"), (F.col("__t").try_cast("decimal(30,9)") * 1_000_000).try_cast("long"))
     age = F.when(F.col("__t").rlike(_AGE), F.regexp_extract("__t", _AGE, 1).try_cast("long") * _lookup(UNITS, F.regexp_extract("__t", _AGE, 2)) * 1_000_000)
