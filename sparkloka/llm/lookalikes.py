@@ -175,7 +175,7 @@ def _walk(shard: pd.DataFrame) -> pd.DataFrame:
         hits = trie.search(token)
         # first the table's own spelling, then one that the table leaves alone but for its alphabet, then the commonest
         best = min(hits, key=lambda h: (fold(h[1]) != h[1], unicodedata.normalize("NFKC", h[1]) != h[1] or _scripts(h[1]) > 1, -h[2], h[1]), default=None)
-        clean = best is not None and (fold(best[1]) == best[1] or (unicodedata.normalize("NFC", best[1]) == best[1] and _scripts(best[1]) == 1 and not _fold_parts()[2].search(best[1])))
+        clean = best is not None and (fold(best[1]) == best[1] or (unicodedata.normalize("NFKC", best[1]) == best[1] and _scripts(best[1]) == 1 and not _fold_parts()[2].search(best[1])))
         out.append((token, best[1] if clean else fold(token)))
     return pd.DataFrame(out, columns=["token", "canon"])
 
