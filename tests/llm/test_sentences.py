@@ -43,5 +43,5 @@ def test_all_but_white_space_is_covered(text):
 def test_frame(spark):
     rows = [(1, "Aa bb. Cc dd.", "id", 0), (2, None, None, 0), (3, "", "xx", 0), (3, "E.", None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, sent_start int")
-    assert sorted(tuple(r) for r in sentences(df).collect()) == [(1, 0, 7), (1, 8, 15), (3, 0, 2)]
+    assert sorted(tuple(r) for r in sentences(df).collect()) == [(1, 0, 6), (1, 7, 13), (3, 0, 2)]
     assert sentences(df.limit(0)).count() == 0 and sentences(df.select("doc_id", "text")).count() == 3
