@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once a row, also where it is used within a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip_emoji(c: Column) -> Column:
     return _squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{EMOJI_CLASS}]+", " "))
 
@@ -94,16 +101,21 @@ def stable_split(c: Column) -> Column:
 def candidates(c: Column) -> Column:
     """Normalised candidates of a post: the whole if short, its sentences, and clauses of long sentences; 12 to 240
     characters, 3 to 48 words, the first of each dedupe key, at most eight."""
-    raw = F.trim(F.regexp_replace(strip_emoji(c), "​", " "))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(raw, r"([.!?])\s+", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    clauses = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) > 160, F.concat(F.array(s), F.split(s, r"\s*[;,]\s+"))).otherwise(F.array(s))))
-    whole = normalize_text(raw)
-    made = F.transform(F.concat(F.when(F.length(whole) <= 220, F.array(whole)).otherwise(F.array().cast("array<string>")), clauses), lambda s: normalize_text(s))
-    kept = F.filter(made, lambda s: F.length(s).between(12, 240) & F.size(F.split(s, " ")).between(3, 48))
+    none = F.array().cast("array<string>")
     key = lambda s: _squeeze(F.regexp_replace(s, r"[^a-z0-9_\s]", " "))
-    keys = F.transform(kept, key)
-    firsts = F.filter(F.transform(kept, lambda s, i: F.when((F.array_position(keys, key(s)) == i + 1) & (key(s) != ""), s)), lambda s: s.isNotNull())
-    return F.slice(firsts, 1, 8)
+
+    def pieces(raw: Column) -> Column:
+        parts = F.filter(F.transform(F.split(F.regexp_replace(raw, r"([.!?])\s+", "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
+        clauses = F.flatten(F.transform(parts, lambda s: F.when(F.length(s) > 160, F.concat(F.array(s), F.split(s, r"\s*[;,]\s+"))).otherwise(F.array(s))))
+        return F.concat(let(normalize_text(raw), lambda w: F.when(F.length(w) <= 220, F.array(w)).otherwise(none)), F.transform(clauses, normalize_text))
+
+    def firsts(kept: Column) -> Column:
+        return F.filter(kept, lambda p, i: (p["key"] != "") & (F.array_position(kept["key"], p["key"]) == i + 1))
+
+    made = let(F.regexp_replace(strip_emoji(c), "\u200b", " "), lambda raw: pieces(F.trim(raw)))
+    kept = F.filter(made, lambda s: F.length(s).between(12, 240) & F.size(F.split(s, " ")).between(3, 48))
+    named = F.transform(kept, lambda s: F.struct(s.alias("text"), key(s).alias("key")))
+    return F.slice(F.transform(let(named, firsts), lambda p: p["text"]), 1, 8)
 
 
 # Patterns of personal data in the order they are replaced.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloka.constants import COMPLAINT_PATTERNS, COMPLAINTS, PRAISE, PRIORITY, RULES
+from sparkloka.functions.text import let
 
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -18,14 +19,14 @@ _WORD = r"[\p{L}\p{N}_]"
 def ngrams(c: Column, most: int = 4) -> Column:
     """Runs of one to ``most`` words of a lower-cased text; other characters part runs, so none crosses a comma."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"([^\p{{L}}\p{{N}}_\s])", " $1 "), r"\s+"), lambda w: w != "")
-    size = F.size(words)
 
+    def runs(w: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    def run(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, most + 1)]))
 
-    runs = [run(n) for n in range(1, most + 1)]
-    return F.array_distinct(F.concat(*runs))
+    return let(words, runs)
 
 
 def _keys(words: str) -> list[str]:
