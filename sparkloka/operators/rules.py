@@ -40,7 +40,10 @@ def _hits(grams: Column, words: list[str]) -> Column:
 
 def label(df: DataFrame, text: str, context: str | None = None) -> DataFrame:
     """Adds ``label``, ``confidence`` and ``score``."""
-    df = df.withColumn("__g", ngrams(F.col(text), 5)).withColumn("__c", ngrams(F.col(context), 5) if context else F.array().cast("array<string>"))
+    every = list(dict.fromkeys(w for r in RULES.values() for w in _keys(r["keywords"]) + _keys(r["vetoes"])))
+    most = max(len(w.split()) for w in every)
+    some = lambda c: _hits(ngrams(F.col(c), most), every)  # noqa: E731 - the few n-grams that are in the book at all
+    df = df.withColumn("__g", some(text)).withColumn("__c", some(context) if context else F.array().cast("array<string>"))
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     scored = []
     for name, rule in RULES.items():
