@@ -68,12 +68,13 @@ def _records(df: DataFrame) -> DataFrame:
 
 
 def _blocks(df: DataFrame, classes: Column) -> DataFrame:
-    """One row for each class a record is looked for in and each block: content hash, and the next block's words."""
+    """One row for each class a record is looked for in and each block: the hash of the block's content."""
     counts = F.array(*[F.lit(x[2]) for x in bounds()])
     df = df.withColumn("c", F.explode(classes)).withColumn("m", counts[F.col("c")])
-    df = df.withColumn("parts", F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.filter("ws", lambda w: F.pmod(w, F.col("m")) == i)))
-    df = df.select("row_id", "n", "s1", "s2", "c", "m", "parts", F.posexplode("parts").alias("i", "part"))
-    return df.select("row_id", "n", "s1", "s2", F.xxhash64("c", "i", F.concat_ws(",", F.transform("part", lambda w: w.cast("string")))).alias("key"), "c", F.col("parts")[F.pmod(F.col("i") + 1, F.col("m"))].alias("next"))
+    df = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    part = F.filter("ws", lambda w: F.pmod(w, F.col("m")) == F.col("i"))
+    key = F.xxhash64("c", "i", F.concat_ws(",", F.transform(part, lambda w: w.cast("string"))))
+    return df.select("row_id", "n", "s1", "s2", key.alias("key"), F.col("c").cast("smallint").alias("c"), F.col("i").alias("i"))
 
 
 def _near() -> Column:
@@ -84,11 +85,14 @@ def _near() -> Column:
     return (a * SIMILARITY <= b + 1e-9) & (b * SIMILARITY <= a + 1e-9) & (bits("s1") <= radius) & (bits("s2") <= radius)
 
 
-def _deletions(df: DataFrame) -> DataFrame:
-    """The block's key together with the next block, whole and less any one word."""
+def _deletions(df: DataFrame, records: DataFrame) -> DataFrame:
+    """The block's key together with the next block of the ring, whole and less any one word."""
+    counts = F.array(*[F.lit(x[2]) for x in bounds()])
+    df = df.join(records.select("row_id", "ws"), "row_id").withColumn("m", counts[F.col("c")])
+    df = df.withColumn("next", F.filter("ws", lambda w: F.pmod(w, F.col("m")) == F.pmod(F.col("i") + 1, F.col("m"))))
     text = lambda ws: F.concat_ws(",", F.transform(ws, lambda w: w.cast("string")))
     less = F.concat(F.array(text(F.col("next"))), F.transform("next", lambda w: text(F.array_remove(F.col("next"), w))))
-    return df.withColumn("next_key", F.explode(F.array_distinct(F.transform(less, lambda x: F.xxhash64("key", x))))).drop("next")
+    return df.withColumn("next_key", F.explode(F.array_distinct(F.transform(less, lambda x: F.xxhash64("key", x))))).drop("next", "ws", "m")
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     cold = left.filter("NOT hot").alias("a").join(right.filter("NOT hot").alias("b"), (F.col("a.key") == F.col("b.key")) & _near())
     pairs = cold.select(F.col("a.row_id").alias("train_id"), F.col("b.row_id").alias("eval_id"))
     if some:
-        x, y = _deletions(left.filter("hot")).alias("a"), _deletions(right.filter("hot")).alias("b")
+        x, y = _deletions(left.filter("hot"), a).alias("a"), _deletions(right.filter("hot"), b).alias("b")
         pairs = pairs.unionByName(x.join(y, (F.col("a.next_key") == F.col("b.next_key")) & _near()).select(F.col("a.row_id").alias("train_id"), F.col("b.row_id").alias("eval_id")))
     pairs = pairs.distinct()
     both = pairs.join(a.select(F.col("row_id").alias("train_id"), F.col("ws").alias("wa")), "train_id").join(b.select(F.col("row_id").alias("eval_id"), F.col("ws").alias("wb")), "eval_id")
