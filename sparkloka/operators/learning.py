@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloka.constants import RULES
-from sparkloka.functions.text import normalize_text
+from sparkloka.constants import RULES, SELF_TRAINING, SOURCE_PRIORITY
+from sparkloka.functions.text import candidates, dedupe_key, is_indonesian, language_scores, normalize_text
+from sparkloka.operators import rules
 from sparkloka.operators.evaluation import class_weights
+from sparkloka.operators.rows import keep_one, top_per
 
 
 def _words(df: DataFrame) -> DataFrame:
@@ -33,17 +35,58 @@ def fit(train: DataFrame, label: str = "final_signal") -> PipelineModel:
     return Pipeline(stages=stages).fit(rows)
 
 
-def predict(model: PipelineModel, rows: DataFrame, label: str = "final_signal") -> DataFrame:
-    """(row_id, truth, guess, confidence, margin)."""
+def _scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Adds ``guess`` and ``p``, the probabilities from the highest down."""
     from pyspark.ml.functions import vector_to_array
 
-    made = _words(rows.select("row_id", "text", F.col(label).alias("truth")))
+    made = _words(rows)
     for stage in model.stages[1:]:
         made = stage.transform(made)
-    p = F.sort_array(vector_to_array("probability"), asc=False)
+    return made.select(*rows.columns, "guess", F.sort_array(vector_to_array("probability"), asc=False).alias("p"))
+
+
+def predict(model: PipelineModel, rows: DataFrame, label: str = "final_signal") -> DataFrame:
+    """(row_id, truth, guess, confidence, margin)."""
+    made = _scored(model, rows.select("row_id", "text", F.col(label).alias("truth")))
+    p = F.col("p")
     return made.select("row_id", "truth", "guess", F.round(p[0], 6).alias("confidence"), F.round(p[0] - p[1], 6).alias("margin"))
 
 
+def hinted(pool: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_id, pos, text, hint, score): the pool's candidates for self-training, at most a quota of each hint label.
+
+    Candidates are the Indonesian pieces of a text that the rule book gives a label by their own words; the first of
+    each dedupe key counts, and keys of ``known`` texts are left out."""
+    order = {name: -i for i, name in enumerate(SELF_TRAINING)}
+    made = pool.select("row_id", "source", F.posexplode(candidates(F.col("text"))).alias("pos", "text"))
+    made = made.filter(F.length("text").between(12, 220) & F.size(F.split("text", " ")).between(3, 42) & is_indonesian(language_scores(F.col("text"))))
+    made = rules.label(made, "text", priority=order).filter("score > 0").select("row_id", "pos", "source", "text", F.col("label").alias("hint"), "score", dedupe_key(F.col("text")).alias("key")).filter("key <> ''")
+    first = keep_one(made, ["key"], [F.col("row_id"), F.col("pos")])
+    fresh = first.join(known.select(dedupe_key(F.col("text")).alias("key")).distinct(), "key", "left_anti").drop("key")
+    most = _limit(0, "hint")
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv]), F.col("source")), F.lit(0))
+    return top_per(fresh, "hint", [F.desc("score"), rank.desc(), F.col("text"), F.col("row_id")], most).drop("rank_in_group", "source")
+
+
+def _limit(i: int, name: str) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in SELF_TRAINING.items() for x in (k, v[i])])[F.col(name)]
+
+
+def agreed(scored: DataFrame) -> DataFrame:
+    """Of candidates (hint, guess, confidence, margin, score, text, row_id, pos) those where model and hint agree and
+    confidence and margin reach the label's limits; then the best of each label up to the most that is kept."""
+    sure = scored.filter((F.col("guess") == F.col("hint")) & (F.col("confidence") >= _limit(1, "guess")) & (F.col("margin") >= _limit(2, "guess")))
+    return top_per(sure, "guess", [F.desc("confidence"), F.desc("margin"), F.desc("score"), F.col("text"), F.col("row_id"), F.col("pos")], _limit(3, "guess"))
+
+
+def pseudolabels(train: DataFrame, pool: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_id, pos, text, label, confidence, margin, score, rank_in_group): one round of self-training."""
+    rows = _scored(fit(train), hinted(pool, known))
+    # limits are tried on the probabilities as they are, not as they are rounded
+    kept = agreed(rows.withColumn("confidence", F.col("p")[0]).withColumn("margin", F.col("p")[0] - F.col("p")[1]))
+    return kept.select("row_id", F.col("pos").cast("long").alias("pos"), "text", F.col("guess").alias("label"), F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "score", F.col("rank_in_group").cast("long").alias("rank_in_group"))
+
+
 def _weights() -> dict[str, float]:
     """How much a word counts for the rule book: its share in the keywords that hold it."""
     out: dict[str, float] = {}

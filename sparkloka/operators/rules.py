@@ -7,6 +7,8 @@ keyword. Defined results: null texts and contexts count as empty; no hit is NEUT
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def _hits(grams: Column, words: list[str]) -> Column:
     return F.array_intersect(grams, F.split(F.lit("|".join(words)), r"\|")) if words else F.array().cast("array<string>")
 
 
-def label(df: DataFrame, text: str, context: str | None = None) -> DataFrame:
-    """Adds ``label``, ``confidence`` and ``score``."""
+def label(df: DataFrame, text: str, context: str | None = None, priority: Mapping[str, int] = PRIORITY) -> DataFrame:
+    """Adds ``label``, ``confidence`` and ``score``; of equal scores the label of higher priority wins."""
     every = list(dict.fromkeys(w for r in RULES.values() for w in _keys(r["keywords"]) + _keys(r["vetoes"])))
     most = max(len(w.split()) for w in every)
     some = lambda c: _hits(ngrams(F.col(c), most), every)  # noqa: E731 - the few n-grams that are in the book at all
@@ -63,7 +65,7 @@ def label(df: DataFrame, text: str, context: str | None = None) -> DataFrame:
             for pattern, weight in COMPLAINT_PATTERNS:
                 score = score + F.when(lower.rlike(pattern), weight).otherwise(0.0)
         veto = F.size(_hits(F.col("__g"), _keys(rule["vetoes"]))) > 0 if rule["vetoes"] else F.lit(False)
-        scored.append(F.struct(F.when(~veto, score).otherwise(0.0).alias("score"), F.lit(PRIORITY[name]).alias("priority"), F.lit(name).alias("label")))
+        scored.append(F.struct(F.when(~veto, score).otherwise(0.0).alias("score"), F.lit(priority[name]).alias("priority"), F.lit(name).alias("label")))
     df = df.withColumn("__best", F.array_max(F.array(*scored)))
     best = F.col("__best.score")
     return df.withColumns({

@@ -55,12 +55,22 @@ _QUOTA = "CASE label " + " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in SELF_TRA
 
 @query("max_keep", f"SELECT row_id, label, rank_in_group::BIGINT AS rank_in_group FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY confidence DESC, score DESC, row_id) AS rank_in_group FROM ({_WEAK}) WHERE label <> 'NEUTRAL') WHERE rank_in_group <= {_QUOTA}")
 def max_keep(s, d):
-    """The best rows of each label up to its limit: a sampling operator of the self-training step."""
+    """The best rows of each rule label up to its limit: the cap alone, over plain rule labels. No model is asked; ``pseudolabel`` is the self-training step."""
     most = F.create_map(*[F.lit(x) for k, v in SELF_TRAINING.items() for x in (k, v[3])])
     top = top_per(weak_label(s, d).filter("label <> 'NEUTRAL'"), "label", [F.desc("confidence"), F.desc("score"), F.col("row_id")], max(v[3] for v in SELF_TRAINING.values()))
     return top.filter(F.col("rank_in_group") <= most[F.col("label")]).select("row_id", "label", F.col("rank_in_group").cast("long").alias("rank_in_group"))
 
 
+@query("pseudolabel")
+def pseudolabel(s, d):
+    """The self-training step on weak_labeled: candidates by hint label, scored by the classifier, kept where both agree
+    and confidence and margin reach the limits, then capped. No SQL twin: the classifier is trained."""
+    from sparkloka.operators import learning
+
+    known = table(s, d, "signal_train").select("text").unionByName(table(s, d, "signal_val").select("text")).unionByName(table(s, d, "signal_test").select("text"))
+    return learning.pseudolabels(table(s, d, "signal_train"), table(s, d, "weak_labeled"), known)
+
+
 _N = S.normal("text")
 _CSQL = " + ".join([f"(CASE WHEN contains(n, '{w}') THEN 2 ELSE 0 END)" for w in COMPLAINTS] + [f"(CASE WHEN contains(n, '{w}') THEN -1 ELSE 0 END)" for w in PRAISE] + [f"(CASE WHEN {x} <> '' AND contains(n, {x}) THEN 1 ELSE 0 END)" for x in ("b", "c", "a")])
 _HAS = " OR ".join(f"contains(n, '{w}')" for w in COMPLAINTS)

@@ -140,6 +140,34 @@ def test_classifier_learns(spark):
     assert out.filter("truth = guess").count() == 50
 
 
+def test_self_training_filters_first_and_caps_then(spark):
+    rows = [(i, 0, f"t{i:03}", "TREND", "TREND", 0.9, 0.5, 1.0) for i in range(130)]
+    rows += [(200, 0, "a", "TREND", "COMPLAINT", 0.99, 0.9, 9.0), (201, 0, "b", "TREND", "TREND", 0.8399999, 0.5, 9.0), (202, 0, "c", "TREND", "TREND", 0.95, 0.07, 9.0), (203, 0, "d", "COMPLAINT", "COMPLAINT", 0.92, 0.15, 1.0), (204, 0, "e", "TREND", "TREND", 0.84, 0.08, 9.0)]
+    df = spark.createDataFrame(rows, "row_id long, pos int, text string, hint string, guess string, confidence double, margin double, score double")
+    kept = {r["row_id"]: r["rank_in_group"] for r in learning.agreed(df).collect()}
+    assert set(kept) == {*range(100), 203} and kept[0] == 1  # 204 is sure enough but comes behind the cap
+    assert {r["row_id"] for r in learning.agreed(df.filter("row_id >= 200")).collect()} == {203, 204}
+
+
+def test_self_training_candidates(spark):
+    pool = [(1, "warung ini zonk dan kami kecewa banget deh"), (2, "Warung ini zonk dan kami kecewa banget deh!"), (3, "kapan buka cabang di sini ya kak, butuh banget"), (4, "warung ini udah lama di jalan itu"), (5, None), (6, "this place is really zonk and bad"), (7, "tempat ini viral dan rame banget ya kak")]
+    pool += [(100 + i, f"kopi nomor {i} ini viral banget dan enak untuk kami") for i in range(250)]
+    known = spark.createDataFrame([("tempat ini viral, dan rame banget ya kak",), (None,)], "text string")
+    got = learning.hinted(spark.createDataFrame(pool, "row_id long, text string").withColumn("source", F.when(F.col("row_id") >= 320, "tiktok_scrapling")), known).collect()
+    by = {r["row_id"]: r["hint"] for r in got if r["row_id"] < 100}
+    assert by == {1: "COMPLAINT", 3: "DEMAND_UNMET"}
+    assert sum(r["hint"] == "TREND" for r in got) == 220  # the quota of the label
+    assert {r["row_id"] for r in got} > set(range(320, 350))  # the better source comes first
+
+
+def test_self_training_keeps_what_model_and_rules_agree_on(spark):
+    data = [(i, f"tempat ini viral dan rame banget ya kak {i}" if i % 2 else f"makanan ini zonk dan kecewa untuk kami {i}", "TREND" if i % 2 else "COMPLAINT") for i in range(100)]
+    train = spark.createDataFrame(data, "row_id long, text string, final_signal string")
+    pool = spark.createDataFrame([(1, "yang viral dan rame banget ya kak"), (2, "makanan zonk dan kecewa untuk kami, tapi viral viral"), (3, "butuh makanan ini dan zonk untuk kami")], "row_id long, text string").withColumn("source", F.lit("x"))
+    got = {r["row_id"]: r["label"] for r in learning.pseudolabels(train, pool, train).collect()}
+    assert got.get(1) == "TREND" and 3 not in got  # 3: the rules and the model can't agree, for the model has no such label
+
+
 def test_explanations_find_the_keyword(spark):
     df = spark.createDataFrame([(1, "tempat ini zonk sekali ya"), (2, None), (3, "")], "row_id long, text string")
     out = learning.explain(df).collect()
