@@ -6,7 +6,8 @@ text gets the commonest label's prediction from an empty vector; explanations of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,15 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloka.constants import RULES, SELF_TRAINING, SOURCE_PRIORITY
+from sparkloka.constants import PRIORITY, RULES, SELF_TRAINING, SOURCE_PRIORITY
 from sparkloka.functions.text import candidates, dedupe_key, is_indonesian, language_scores, normalize_text
 from sparkloka.operators import rules
 from sparkloka.operators.evaluation import class_weights
 from sparkloka.operators.rows import keep_one, top_per
 
+#: Cells of the table of masks that are made at a time.
+CELLS = 1 << 20
+
 
 def _words(df: DataFrame) -> DataFrame:
     return df.withColumn("words", F.filter(F.split(normalize_text(F.col("text")), " "), lambda w: w != ""))
@@ -87,37 +91,90 @@ def pseudolabels(train: DataFrame, pool: DataFrame, known: DataFrame) -> DataFra
     return kept.select("row_id", F.col("pos").cast("long").alias("pos"), "text", F.col("guess").alias("label"), F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "score", F.col("rank_in_group").cast("long").alias("rank_in_group"))
 
 
-def _weights() -> dict[str, float]:
-    """How much a word counts for the rule book: its share in the keywords that hold it."""
-    out: dict[str, float] = {}
-    for rule in RULES.values():
-        for kw in rule["keywords"].split("|"):
-            for w in (parts := kw.split()):
-                out[w] = max(out.get(w, 0.0), 1 / len(parts))
-    return out
+def _bucket(word: str, size: int) -> int:
+    """HashingTF's place of a word: MurmurHash3 of its bytes with seed 42."""
+    data, h, full = word.encode(), 42, 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> (32 - r)) & full
+    mix = lambda k: rot(k * 0xCC9E2D51 & full, 15) * 0x1B873593 & full
+    whole = len(data) & ~3
+    for i in range(0, whole, 4):
+        h = (rot(h ^ mix(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & full
+    h ^= mix(int.from_bytes(data[whole:], "little")) ^ len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return (h - (h >> 31 << 32)) % size
+
+
+class ModelScorer:
+    """The probability that a fitted model gives a masked text for the label it predicts for the whole text.
+
+    The model is linear in the counts of words up to the softmax, so a masked text's logits are a sum over its words."""
+
+    def __init__(self, model: PipelineModel) -> None:
+        index, _, idf, lr, _ = model.stages
+        self.labels = list(index.labels)
+        coef, self.bias = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+        if len(coef) == 1 and len(self.labels) == 2:  # two labels: one row of coefficients for the second
+            coef, self.bias = np.vstack([np.zeros_like(coef), coef]), np.array([0.0, self.bias[0]])
+        self.coef = np.ascontiguousarray((coef * idf.idf.toArray()).T)
+
+    def of(self, words: list[str], vocab: list[str]) -> tuple[str, Callable[[np.ndarray], np.ndarray]] | None:
+        counts = Counter(words)
+        parts = np.array([self.coef[_bucket(w, len(self.coef))] * counts[w] for w in vocab])
+
+        def probabilities(masks: np.ndarray) -> np.ndarray:
+            logits = masks @ parts + self.bias
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        best = int(probabilities(np.ones((1, len(vocab))))[0].argmax())
+        return self.labels[best], lambda masks: probabilities(masks)[:, best]
+
+
+class RuleScorer:
+    """The rule book's score of a masked text for the label it gives the whole text; None for texts without a hit."""
+
+    def of(self, words: list[str], vocab: list[str]) -> tuple[str, Callable[[np.ndarray], np.ndarray]] | None:
+        whole = {name: rules.score_words(words, name) for name in RULES}
+        best = max(RULES, key=lambda name: (whole[name], PRIORITY[name]))
+        if whole[best] <= 0:
+            return None
+        at = {w: i for i, w in enumerate(vocab)}
+        return best, lambda masks: np.array([rules.score_words([w for w in words if m[at[w]]], best) for m in masks])
+
 
+def explain(rows: DataFrame, model: PipelineModel | None = None, samples: int = 500, top: int = 3) -> DataFrame:
+    """(row_id, label, token, weight): which words move the score of the predicted label.
 
-def explain(rows: DataFrame, samples: int = 64, top: int = 3) -> DataFrame:
-    """(row_id, token, weight): a ridge regression of a scorer over random word masks of each text, as a local surrogate."""
-    table = _weights()
+    A ridge regression of the scorer (a fitted model, else the rule book) over random word masks of each text, as a
+    local surrogate; every masked text is scored. Texts of many distinct words get eight masks a word."""
+    scorer = rows.sparkSession.sparkContext.broadcast(ModelScorer(model) if model else RuleScorer())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row_id, words in zip(pdf["row_id"], pdf["words"]):
+                words = list(words)
                 vocab = list(dict.fromkeys(words))
-                if not vocab:
+                if not vocab or not (found := scorer.value.of(words, vocab)):
                     continue
-                base = np.array([table.get(w, 0.0) for w in vocab])
+                name, score = found
                 rng = np.random.default_rng(int(row_id) & 0xFFFFFFFF)
-                masks = (rng.random((samples, len(vocab))) < 0.5).astype(float)
-                masks[0] = 1.0
-                score = 1 - np.exp(-masks @ base)
-                x = np.hstack([np.ones((samples, 1)), masks])
-                near = np.exp(-((1 - masks.mean(axis=1)) ** 2) / 0.25)
-                beta = np.linalg.solve(x.T @ (x * near[:, None]) + 0.1 * np.eye(x.shape[1]), x.T @ (near * score))[1:]
-                for i in sorted(range(len(vocab)), key=lambda i: (-abs(beta[i]), vocab[i]))[:top]:
-                    out.append((row_id, vocab[i], round(float(beta[i]), 6)))
-            yield pd.DataFrame(out, columns=["row_id", "token", "weight"])
-
-    return _words(rows.filter("text IS NOT NULL").select("row_id", "text")).select("row_id", "words").mapInPandas(run, "row_id bigint, token string, weight double")
+                n, todo = len(vocab), max(samples, 8 * len(vocab))
+                left, right = 0.1 * np.eye(n + 1), np.zeros(n + 1)
+                step = max(1, CELLS // n)
+                for start in range(0, todo, step):  # in parts, so long texts take no more memory for their masks
+                    masks = (rng.random((min(step, todo - start), n)) < 0.5).astype(float)
+                    if start == 0:
+                        masks[0] = 1.0
+                    x = np.hstack([np.ones((len(masks), 1)), masks])
+                    near = np.exp(-((1 - masks.mean(axis=1)) ** 2) / 0.25)
+                    left += x.T @ (x * near[:, None])
+                    right += x.T @ (near * score(masks))
+                beta = np.linalg.solve(left, right)[1:]
+                for i in sorted(range(n), key=lambda i: (-abs(beta[i]), vocab[i]))[:top]:
+                    out.append((row_id, name, vocab[i], round(float(beta[i]), 6)))
+            yield pd.DataFrame(out, columns=["row_id", "label", "token", "weight"])
+
+    return _words(rows.filter("text IS NOT NULL").select("row_id", "text")).select("row_id", "words").mapInPandas(run, "row_id bigint, label string, token string, weight double")

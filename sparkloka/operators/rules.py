@@ -7,7 +7,10 @@ keyword. Defined results: null texts and contexts count as empty; no hit is NEUT
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +78,24 @@ def label(df: DataFrame, text: str, context: str | None = None, priority: Mappin
     }).drop("__g", "__c", "__best")
 
 
+@lru_cache(None)
+def _counted(name: str) -> tuple[Counter, frozenset[str]]:
+    cut = lambda words: [" ".join(w.replace("-", " - ").split()) for w in words.split("|") if w]
+    return Counter(cut(RULES[name]["keywords"])), frozenset(cut(RULES[name]["vetoes"]))
+
+
+def score_words(words: list[str], name: str) -> float:
+    """The score of ``label`` for one label and a normalised text given by its words, without context."""
+    text = " ".join(words)
+    w = re.sub(r"([^\w\s])", r" \1 ", text).split()
+    keys, vetoes = _counted(name)
+    grams = {" ".join(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
+    if grams & vetoes:
+        return 0.0
+    score = float(sum(keys[g] for g in grams & keys.keys()))
+    return score + sum(weight for pattern, weight in COMPLAINT_PATTERNS if name == "COMPLAINT" and re.search(pattern, text))
+
+
 def complaint_score(normal: Column, business: Column, city: Column, area: Column) -> Column:
     """Markers count 2, praise -1, and a named business, city and district 1 each (substrings of the normalised text)."""
     score = F.lit(0)

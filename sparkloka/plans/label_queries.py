@@ -128,7 +128,8 @@ def lr_classifier(s, d):
 
 @query("lime_top3")
 def lime_top3(s, d):
-    """The three words of each signal_test record whose removal moves its rule score most: no SQL twin."""
+    """The three words of each signal_test record that move the classifier's probability of its predicted label most:
+    no SQL twin; the masked texts' probabilities are tested against the classifier."""
     from sparkloka.operators import learning
 
-    return learning.explain(table(s, d, "signal_test"))
+    return learning.explain(table(s, d, "signal_test"), learning.fit(table(s, d, "signal_train")))

@@ -174,6 +174,43 @@ def test_explanations_find_the_keyword(spark):
     assert {r["row_id"] for r in out} == {1} and max(out, key=lambda r: abs(r["weight"]))["token"] == "zonk"
 
 
+def test_masked_texts_are_scored_by_the_model(spark):
+    from pyspark.ml.feature import HashingTF
+
+    words = ["ke", "", "a", "ab", "abc", "abcd", "kecewa!", "warung-makan", "éß", "日本"]
+    assert [learning._bucket(w, 1 << 14) for w in words] == [HashingTF(numFeatures=1 << 14).indexOf(w) for w in words]
+    data = [(i, f"ke warung {('enak murah', 'zonk kotor', 'viral rame')[i % 3]} x{i % 7}", "PNT"[i % 3]) for i in range(120)]
+    for kinds in ("PNT", "PN"):
+        df = spark.createDataFrame([r for r in data if r[2] in kinds], "row_id long, text string, final_signal string")
+        model = learning.fit(df)
+        text = "ke warung zonk zonk enak kotor x1"
+        vocab = list(dict.fromkeys(text.split()))
+        label, score = learning.ModelScorer(model).of(text.split(), vocab)
+        masks = [[1] * len(vocab), [0, 1, 1, 0, 1, 1], [0, 0, 1, 1, 0, 1]]
+        masked = [(i, " ".join(w for w in text.split() if m[vocab.index(w)]), label) for i, m in enumerate(masks)]
+        asked = {r["row_id"]: r["confidence"] if r["guess"] == label else None for r in learning.predict(model, spark.createDataFrame(masked, "row_id long, text string, final_signal string")).collect()}
+        assert label == "N" and [round(float(x), 6) for x in score(learning.np.array(masks, float))] == pytest.approx([asked[i] for i in range(3)], abs=2e-6)
+        got = learning.explain(spark.createDataFrame([(1, text)], "row_id long, text string"), model).collect()
+        assert len(got) == 3 and {"zonk", "kotor"} <= {r["token"] for r in got if r["weight"] > 0}
+
+
+def test_rule_scores_of_words_are_the_rule_book(spark):
+    texts = ["zonk", "gak worth it, mahal banget", "enak banget tapi zonk", "tempat ke pasar", "di mana-mana ada", "fyp viral", "pelayanan lama dan porsi kecil", "ga ada di sini, udah ada"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = {r["i"]: (r["label"], r["score"]) for r in rules.label(df, "text").collect()}
+    for i, t in enumerate(texts):
+        scores = {n: rules.score_words(t.split(), n) for n in rules.RULES}
+        best = max(scores, key=lambda n: (scores[n], rules.PRIORITY[n]))
+        assert (best if scores[best] else "NEUTRAL", scores[best]) == want[i]
+
+
+def test_explanations_of_phrases_vetoes_and_long_texts(spark):
+    texts = [(1, "ke pasar untuk jalan"), (2, "warung mahal banget sekali"), (3, "ke " + " ".join(f"w{i}" for i in range(80)) + " zonk")]
+    got = [(r["row_id"], r["label"], r["token"]) for r in learning.explain(spark.createDataFrame(texts, "row_id long, text string")).collect()]
+    assert {r for r, _, _ in got} == {2, 3}  # no hit, no weights
+    assert {"mahal", "banget"} <= {t for r, _, t in got if r == 2} and (3, "COMPLAINT", "zonk") in got
+
+
 def test_missing_files_and_bad_cells(spark, tmp_path):
     assert files.read_csv(spark, f"{tmp_path}/none*.csv", ["a", "b"]).count() == 0
     (tmp_path / "x.csv").write_text('id,name\n"01","a ""b""\nc"\n2,\n')
