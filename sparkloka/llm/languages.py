@@ -8,7 +8,9 @@ The filters are fitted on at most FIT_ROWS labelled documents of each language (
 that a share of a language's documents has; labels may be wrong now and then, for an n-gram must be about as common in
 one language as in the language where it is commonest.
 
-Defined results: null texts are no cases; texts without letters have no passages; a passage is one or more whole
+Defined results: null texts are no cases; texts without words (letters outside links, tags and addresses) have no
+passages; a text of words that no filter tells apart is one passage in its script's likeliest language (LANGUAGES' first
+for Latin and scripts of no filter) with confidence 0; a passage is one or more whole
 sentences; repeated rows are one record; a tag that names no language counts as missing; other columns are ignored.
 """
 
@@ -63,6 +65,8 @@ _SKIP = regex.compile(r"https?://\S+|www\.\S+|\S+\.example\S*|[@#][\w.]+|\S+@\S+
 _WORD = regex.compile(r"[\p{Han}々]+|[\p{Hiragana}\p{Katakana}ー]+|\p{Thai}+|[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _FOREIGN = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Cyrillic}]")
+# Scripts whose letters name a language where no n-gram does.
+_SCRIPTS = {"zh": regex.compile(r"\p{Han}"), "ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "th": regex.compile(r"\p{Thai}"), "ar": regex.compile(r"\p{Arabic}"), "ru": regex.compile(r"\p{Cyrillic}")}
 #: A run of Latin words long enough to be a sentence beside another script.
 _LATIN_RUN = regex.compile(r"(?:[\"“(]?\b\p{Latin}[\p{Latin}\p{M}'’.-]*[\s,;:.!?\"”)\p{N}/]*){4,}")
 
@@ -71,6 +75,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(_SKIP.sub(" ", text).lower())
 
 
+def by_script(text: str) -> int:
+    """The likeliest language of the script that most letters of a text's words have: the first for Latin and others."""
+    letters = "".join(words_of(text))
+    n = {lang: len(script.findall(letters)) for lang, script in _SCRIPTS.items()}
+    if n["ja"]:
+        n["ja"], n["zh"] = n["ja"] + n["zh"], 0
+    most = max(n, key=n.__getitem__)
+    return LANGUAGES.index(most) if n[most] > len(letters) - sum(n.values()) else 0
+
+
 def grams(word: str) -> list[str]:
     """A word's n-grams: itself and pieces of three and four letters, or of one and two where nothing parts words."""
     if _UNSPACED.match(word):
@@ -190,7 +204,7 @@ class Detector:
         return out
 
     def passages(self, text: str) -> list[tuple[int, float, int]]:
-        """(language, confidence, sentences) of the passages of a text."""
+        """(language, confidence, sentences) of the passages of a text; without any evidence one by its letters alone."""
         scores = []
         for piece in self.pieces(text):
             ws = words_of(piece)
@@ -206,7 +220,7 @@ class Detector:
             best = np.where(stay, best, best[top] - CHANGE) + s
         path = [int(best.argmax())]
         if best[path[0]] <= 0:
-            return []
+            return [(by_script(text), 0.0, len(scores))]
         for b in reversed(back):
             path.append(b[path[-1]])
         path.reverse()

@@ -62,6 +62,18 @@ def test_passages_and_edges(spark, tables):
     assert G.found(df.limit(0), tags.limit(0), docs.limit(0)).count() == 0
 
 
+def test_texts_without_evidence_stay(spark, tables):
+    texts = ["Qzxwv Xqzjk", "नमस्ते दुनिया", "ԱԲԳ", "ឃឃ", "ヸヹ 丟", "丟丣", "12345 😍", "https://a.example/xyz", "  "]
+    detector = G.Detector(G.Filters())
+    want = ["id", "id", "id", "id", "ja", "zh"]
+    assert [[(G.LANGUAGES[x], c, n) for x, c, n in detector.passages(t)] for t in texts] == [[(w, 0.0, 1)] for w in want] + [[], [], []]
+    assert G.LANGUAGES[detector.passages("Жжж ъъ")[0][0]] == "ru" and detector.passages("Qzxwv. Xqzjk qq. Zzz") == [(0, 0.0, 3)]
+    _, tags, docs = tables
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    got = {r["row_id"]: (r["seg_no"], r["lang"]) for r in G.found(df, tags.limit(0), docs.limit(0)).collect()}
+    assert set(got) == set(range(6)) and got[1] == (1, "id")
+
+
 def tags_null():
     from pyspark.sql import functions as F
 
