@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloka.constants import ALIASES, BUSINESSES, CITIES, DEFAULT_BUSINESS, DEFAULT_CITY, TEMPLATES
-from sparkloka.functions.text import dedupe_key, normalize_text
+from sparkloka.functions.text import dedupe_key, normalize_text, offsets, tokens
+from sparkloka.runtime import bounded
 
 AREAS = [(city, area) for city, areas in CITIES.items() for area in areas]
 ALIAS_ORDER = sorted(ALIASES.items(), key=lambda kv: len(kv[0]), reverse=True)
@@ -126,6 +127,26 @@ def gazetteer(rows: DataFrame, id_col: str, text: str, terms: list[tuple[str, st
     return some.mapInPandas(run, "id bigint, start bigint, stop bigint, label string, term string").withColumnRenamed("id", id_col)
 
 
+def own_terms(rows: DataFrame, id_col: str, text: str, city: str, area: str, names: DataFrame) -> DataFrame:
+    """(id, start, stop, label): whole-word occurrences of terms that count for a row alone: the place names (city, name)
+    of its city, of four characters or more, as ORG, and its own district hint as LOC.
+
+    Names grow with the data, so runs of a text's tokens are joined with them; none is collected."""
+    known = names.select(F.lower(F.trim("city")).alias("__city"), F.lower(F.trim("name")).alias("term")).filter(F.length("term") >= 4).distinct()
+    sizes = known.agg(F.array_sort(F.collect_set(F.size(tokens(F.col("term")))))).first()[0]  # numbers of tokens, a few
+    t = rows.select(F.col(id_col).cast("bigint").alias(id_col), F.lower(F.trim(city)).alias("__city"), F.lower(F.trim(F.coalesce(F.col(area), F.lit("")))).alias("__hint"), F.lower(text).alias("__x"))
+    t = t.filter("__x <> ''").withColumn("__t", offsets(F.col("__x")))
+    size = F.length("__hint")
+    own = F.filter("__t", lambda w: (size > 0) & (F.substr("__x", w["start"] + 1, size) == F.col("__hint")) & F.array_contains(F.col("__t")["stop"], w["start"] + size))
+    hinted = t.select(id_col, size.alias("__n"), F.explode(own["start"]).alias("start")).select(id_col, "start", (F.col("start") + F.col("__n")).alias("stop"), F.lit("LOC").alias("label"))
+    # every run of as many tokens as some name has
+    runs = t.select(id_col, "__city", "__x", "__t", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("__n"))
+    runs = runs.filter(F.size("__t") >= F.col("__n")).select(id_col, "__city", "__x", F.explode(F.transform(F.slice("__t", F.lit(1), F.size("__t") - F.col("__n") + 1), lambda w, i: F.struct(w["start"].alias("start"), F.col("__t")[i + F.col("__n") - 1]["stop"].alias("stop")))).alias("w"))
+    runs = runs.select(id_col, "__city", "w.start", "w.stop", F.substr("__x", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start")).alias("term")).filter(F.length("term") >= 4)
+    met = runs.join(bounded(known, 200_000), ["__city", "term"]).select(id_col, "start", "stop", F.lit("ORG").alias("label"))
+    return met.unionByName(hinted).select(id_col, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "label")
+
+
 def fuzzy_area(rows: DataFrame, id_col: str, name: str, cutoff: float = 0.88) -> DataFrame:
     """(id, name, area, ratio): the closest district by the gestalt ratio of the normalised names, from ``cutoff`` up.
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkloka.constants import BUSINESSES, CITIES
 from sparkloka.functions import text as T
 from sparkloka.operators import entities, evaluation, places
 from sparkloka.operators.places import AREAS
 from sparkloka.plans.registry import query
 from sparkloka.runtime import table
 
-# a tagger over words of lower-cased text: one-word districts are LOC, capitalised words are PER
+# what spans are painted from; below it, a tagger over words of lower-cased text: one-word districts are LOC, capitalised words are PER
+_SPAN_TERMS = [(c.lower(), "LOC") for c in CITIES] + [(a.lower(), "LOC") for _, a in AREAS] + [(b, "ORG") for b in BUSINESSES]
 _AREA = sorted({a.lower() for _, a in AREAS if " " not in a})
 _IN = "(" + ", ".join(f"'{a}'" for a in _AREA) + ")"
 _TOK = r"SELECT row_id, u.i AS pos, u.w AS token FROM (SELECT row_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), lambda w, i: {'i': i, 'w': w})) AS u FROM signal_val)"
@@ -55,10 +57,13 @@ def first_subtoken(s, d):
 
 @query("span_paint")
 def span_paint(s, d):
-    """Tags painted from gazetteer spans: no SQL twin; decoding the tags gives the spans back."""
-    rows = table(s, d, "signal_val").filter("text IS NOT NULL").select("row_id", "text")
+    """Tags painted from the spans of all terms: cities, districts, businesses, the names of places in the row's city,
+    its own district hint. No SQL twin; decoding the tags gives the spans back."""
+    rows = table(s, d, "signal_val").filter("text IS NOT NULL").select("row_id", "text", "city", "area_hint")
     toks = rows.select("row_id", F.posexplode(T.offsets(F.lower("text"))).alias("pos", "t")).select("row_id", F.col("pos").cast("long").alias("pos"), "t.token", F.col("t.start").cast("long").alias("start"), F.col("t.stop").cast("long").alias("stop"))
-    found = places.gazetteer(rows, "row_id", "text", [(a, "LOC") for a in _AREA])
+    found = places.gazetteer(rows, "row_id", "text", _SPAN_TERMS).select("row_id", "start", "stop", "label")
+    names = table(s, d, "documents").select("city", F.col("place_name").alias("name"))
+    found = found.unionByName(places.own_terms(rows, "row_id", "text", "city", "area_hint", names)).distinct()
     return entities.paint(toks, found, "row_id")
 
 

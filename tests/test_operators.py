@@ -127,6 +127,19 @@ def test_spans_painted_and_decoded_again(spark):
     assert [r["tag"] for r in entities.paint(toks, sp, "s").orderBy("pos").collect()] == ["B-ORG", "B-ORG", "O"]
 
 
+def test_spans_of_all_terms_are_painted(spark, tmp_path):
+    from sparkloka.plans.registry import QUERIES
+
+    rows = [(1, "Kopi di Bandung Wetan!", "Bandung", None), (2, "ke Warung Si-Ayu, tebet timur", "Malang", " Tebet Timur "), (3, "ke Warung Si-Ayu", "Bandung", "Sukun"), (4, None, "Malang", "Sukun"), (5, "", None, ""), (6, "xwarung si-ayu dan tebet timuran", "Malang", "Tebet Timur"), (7, "warung si-ayu", "Malang", "")]
+    spark.createDataFrame(rows, "row_id long, text string, city string, area_hint string").write.parquet(f"{tmp_path}/signal_val.parquet")
+    spark.createDataFrame([("Malang", "Warung Si-Ayu "), ("malang", "WARUNG SI-AYU"), ("Malang", "ke"), (None, "Kopi di"), ("Malang", None)], "city string, place_name string").write.parquet(f"{tmp_path}/documents.parquet")
+    got: dict = {}
+    for r in QUERIES["span_paint"](spark, str(tmp_path)).orderBy("row_id", "pos").collect():
+        got.setdefault(r["row_id"], []).append(r["tag"])
+    o, b, i, lb, li = "O", "B-ORG", "I-ORG", "B-LOC", "I-LOC"
+    assert got == {1: [b, o, lb, li, o], 2: [o, b, i, i, i, o, lb, li], 3: [o] * 5, 6: [o] * 7, 7: [b, i, i, i]}
+
+
 def test_report_zero_divisions(spark):
     r = {x["label"]: x for x in evaluation.class_report(spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a")], "truth string, guess string"), ["a", "b", "c", "d"]).collect()}
     assert (r["a"]["prec"], r["a"]["recall"], r["a"]["f1"]) == (0.5, 0.5, 0.5) and r["b"]["f1"] == r["c"]["f1"] == r["d"]["f1"] == 0.0
