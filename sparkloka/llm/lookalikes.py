@@ -1,8 +1,8 @@
-"""One form for text that looks the same: a trie of the corpus's tokens walked by an automaton that costs nothing for
-look-alikes and ignorables.
+"""One form for text that looks the same: tokens are folded by a table of look-alikes and ignorables, and a trie of the
+corpus's tokens gives the spelling of a fold.
 
-Only values with a character that some other spelling could stand for need work (``suspect``). Their tokens walk a
-trie of all tokens of the corpus that fold alike; the canonical spelling is the clean one if the corpus has it, else the
+Only values with a character that some other spelling could stand for need work (``suspect``). Their tokens are looked
+up in a trie of all tokens of the corpus that fold alike: the table decides, the walk costs 0; the canonical spelling is the clean one if the corpus has it, else the
 most frequent; a token that meets no spelling is folded by table. Values without such characters are canonical.
 
 Defined results: null and empty values have no canonical form and match nothing; repeated rows are all reported; line
