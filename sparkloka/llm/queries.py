@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_labels": _p1(languages.labelled),
         "p2_found": _p2(overlap.found),
         "p2_report": _p2(overlap.report),
+        "p2_classes": _p2(overlap.classes),
         "p3_found": lambda s, d: splits.found(splits.all_records(s, d)),
         "p3_splits": lambda s, d: splits.assign(splits.groups(splits.all_records(s, d))),
         "p5_found": lambda s, d: lookalikes.found(_posts(s, d), ["text", "raw_text"]),
