@@ -38,13 +38,13 @@ from sparkloka.runtime import bounded, stage
 SIMILARITY = 0.8
 #: Ratio of the bounds of a size class.
 CLASS_RATIO = 1.5625
-#: Pairs that one block may give before it counts as hot.
-HOT_PAIRS = 20_000
+#: Pairs that one block may give before it counts as hot: what a task compares in a tenth of a second.
+HOT_PAIRS = 1_000_000
 #: Bits of a side's bitmap of keys: so many a word, at most MAX_BITS (16 MB).
 BITS_A_WORD, MAX_BITS = 32, 1 << 27
 #: Buckets in which the words of hot classes are counted.
 RARITY = 1 << 18
-#: Hot keys up to which they are broadcast.
+#: Counted rows up to which keys, candidates and pairs are broadcast.
 SMALL = 200_000
 
 _LINK = regex.compile(r"(?i)\b(?:https?://|www\.)\S+")
@@ -256,7 +256,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _permuted(left: DataFrame, right: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidates of hot blocks by the leading bits of the permuted codes; keys that are still hot are salted."""
-    left, right = (stage(d.join(classes.select("h1", "words"), "h1").select("key", "h1", "n", "s1", "s2", "words"), f"overlap-hot-{i}") for i, d in enumerate((left, right)))
+    some = bounded(stage(left.select("h1").unionByName(right.select("h1")).distinct(), "overlap-hot"), SMALL)
+    texts = stage(classes.select("h1", "words").join(some, "h1", "left_semi"), "overlap-hot-words")
+    left, right = (stage(d.join(texts, "h1").select("key", "h1", "n", "s1", "s2", "words"), f"overlap-hot-{i}") for i, d in enumerate((left, right)))
     counted = left.select("words").unionByName(right.select("words")).mapInArrow(_count_words, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     rare = np.zeros(RARITY, np.int64)
     rare[counted.column("i").to_numpy()] = counted.column("n").to_numpy()
@@ -299,17 +301,26 @@ class Overlaps:
         else:
             met = _meet(left, right, ["key"])
         met = stage(met.distinct(), "overlap-met")
-        texts = lambda x: self.classes.select(F.col("h1").alias(f"h{x}"), F.col("h2").alias(f"{x}2"), F.split("words", " ").alias(f"w{x}"))
-        both = met.join(texts("a"), "ha").join(texts("b"), "hb")
+        # only the candidates' words are moved, not those of all classes
+        some = bounded(met.select(F.col("ha").alias("h1")).unionByName(met.select(F.col("hb").alias("h1"))).distinct(), 2 * SMALL)
+        texts = stage(self.classes.select("h1", "h2", "words").join(some, "h1", "left_semi"), "overlap-words")
+        one = lambda x: texts.select(F.col("h1").alias(f"h{x}"), F.col("h2").alias(f"{x}2"), F.col("words").alias(f"w{x}"))
+        both = met.join(one("a"), "ha").join(one("b"), "hb").withColumns({"wa": F.split("wa", " "), "wb": F.split("wb", " ")})
         common = F.size(F.array_intersect("wa", "wb"))
         both = both.select(F.col("ha").alias("a1"), "a2", F.col("hb").alias("b1"), "b2", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
         return stage(both.filter(F.col("similarity") >= SIMILARITY - 1e-9), "overlap-pairs")
 
+    def _rows(self, side: int, name: str, x: str) -> DataFrame:
+        """The rows of one side whose classes have pairs."""
+        some = bounded(self.pairs.select(f"{x}1", f"{x}2").distinct(), SMALL)
+        rows = self.members.filter(F.col("side") == side).select(F.col("row_id").alias(name), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
+        return rows.join(some, [f"{x}1", f"{x}2"], "left_semi").distinct()
+
     def train_rows(self) -> DataFrame:
-        return self.members.filter("side = 0").select(F.col("row_id").alias("train_id"), F.col("h1").alias("a1"), F.col("h2").alias("a2")).distinct()
+        return self._rows(0, "train_id", "a")
 
     def held_rows(self) -> DataFrame:
-        return self.members.filter("side = 1").select(F.col("row_id").alias("eval_id"), F.col("h1").alias("b1"), F.col("h2").alias("b2")).distinct()
+        return self._rows(1, "eval_id", "b")
 
 
 def _marks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
