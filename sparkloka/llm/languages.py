@@ -11,7 +11,7 @@ one language as in the language where it is commonest.
 Defined results: null texts are no cases; texts without words (letters outside links, tags and addresses) have no
 passages; a text of words that no filter tells apart is one passage in its script's likeliest language (LANGUAGES' first
 for Latin and scripts of no filter) with confidence 0; a passage is one or more whole
-sentences; repeated rows are one record; a tag that names no language counts as missing; other columns are ignored.
+sentences; repeated rows are one record, as are texts under one id (the text of smallest hash); a tag that names no language counts as missing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from sparkloka.llm.sentences import segment
 
 LANGUAGES = ["id", "en", "jv", "su", "nl", "de", "zh", "ja", "ar", "th", "ru"]
-#: Labelled documents of each language that the filters are fitted on at most, and characters of each... see fit().
-FIT_ROWS = 400
+#: Labelled documents of each language that the filters are fitted on at most, and characters of each of these. Only the
+#: fit is bounded: every record is looked at whole.
+FIT_ROWS, FIT_CHARS = 400, 20_000
 #: Slots of the filters and hashes of an n-gram.
 SLOTS, HASHES = 1 << 19, 3
 #: Share of a language's fitted documents that must have an n-gram, and least ratio to the language that has it most.
@@ -248,33 +249,40 @@ def code(c: Column) -> Column:
 
 
 def fit_rows(documents: DataFrame, most: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """At most ``most`` labelled documents of each of LANGUAGES, by smallest hash of the id; a fixed number in all."""
+    """FIT_CHARS characters of at most ``most`` labelled documents of each of LANGUAGES, by smallest hash of the id; a
+    fixed number in all."""
     from pyspark.sql.window import Window
 
     d = documents.select("doc_id", code(F.col("lang")).alias("lang"), "text").filter(F.col("lang").isin(LANGUAGES) & (F.length(F.trim("text")) > 0))
-    ids = d.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("fit")).alias("h"))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 1)  # 63 bits
+    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     # the hash keeps about four times as many as needed before anything is ranked
-    sizes = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for lang, n in sorted(sizes.items()):
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(min(1.0, 4 * most / n) * 1_000_000)))
-    ranked = d.withColumn("h", F.xxhash64("doc_id", F.lit("fit"))).filter(keep).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h")))
+        keep = keep | ((F.col("lang") == lang) & (h <= share_of_hash(most, n)))
+    ranked = d.filter(keep).select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", "text")).alias("k"))
     return [(r["lang"], r["text"]) for r in ranked.filter(F.col("k") <= most).select("lang", "text").collect()]
 
 
+def share_of_hash(most: int, n: int) -> int:
+    """The 63-bit hash up to which about four times ``most`` of ``n`` rows lie."""
+    return (1 << 63) - 1 if 4 * most >= n else 4 * most * ((1 << 63) - 1) // n
+
+
 def passages(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """(row_id, langs, confidences): the languages of a record's passages in text order."""
+    """(row_id, seen, langs, confidences): the languages of a record's passages in text order, and its text's hash."""
     filters = rows.sparkSession.sparkContext.broadcast(fit(fit_rows(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(filters.value)
         for batch in batches:
             found = [detector.passages(t) for t in batch.column(1).to_pylist()]
+            seen = pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in batch.column(1).to_pylist()], pa.int64())
             langs = pa.array([[LANGUAGES[x[0]] for x in f] for f in found], pa.list_(pa.string()))
             sure = pa.array([[x[1] for x in f] for f in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), langs, sure], ["row_id", "langs", "confidences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), seen, langs, sure], ["row_id", "seen", "langs", "confidences"])
 
-    return rows.filter("text IS NOT NULL").select(F.col("row_id").cast("bigint").alias("row_id"), "text").mapInArrow(run, "row_id bigint, langs array<string>, confidences array<double>")
+    return rows.filter("text IS NOT NULL").select(F.col("row_id").cast("bigint").alias("row_id"), "text").mapInArrow(run, "row_id bigint, seen bigint, langs array<string>, confidences array<double>")
 
 
 def latest_tags(tags: DataFrame) -> DataFrame:
@@ -285,7 +293,8 @@ def latest_tags(tags: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, tags: DataFrame, documents: DataFrame) -> DataFrame:
     """(row_id, seg_no, lang, confidence, n_segments, tag): every passage of every record."""
-    seen = passages(rows, documents).dropDuplicates(["row_id"]).join(latest_tags(tags), "row_id", "left")
+    # of several texts under one id the one of smallest hash is the record
+    seen = passages(rows, documents).groupBy("row_id").agg(F.min(F.struct("seen", "langs", "confidences")).alias("x")).select("row_id", "x.langs", "x.confidences").join(latest_tags(tags), "row_id", "left")
     return seen.select("row_id", "tag", F.size("langs").cast("bigint").alias("n_segments"), F.posexplode(F.arrays_zip("langs", "confidences")).alias("i", "s")).select("row_id", (F.col("i") + 1).cast("bigint").alias("seg_no"), F.col("s.langs").alias("lang"), F.col("s.confidences").alias("confidence"), "n_segments", "tag")
 
 

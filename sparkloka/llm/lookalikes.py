@@ -1,9 +1,12 @@
-"""One form for text that looks the same: tokens are folded by a table of look-alikes and ignorables, and a trie of the
-corpus's tokens gives the spelling of a fold.
+"""One form for text that looks the same: a trie of the corpus's tokens is walked by a weighted edit automaton to which
+look-alikes and ignorables cost nothing.
 
-Only values with a character that some other spelling could stand for need work (``suspect``). Their tokens are looked
-up in a trie of all tokens of the corpus that fold alike: the table decides, the walk costs 0; the canonical spelling is the clean one if the corpus has it, else the
-most frequent; a token that meets no spelling is folded by table. Values without such characters are canonical.
+Only values with a character that some other spelling could stand for need work (``suspect``). Their tokens are walked
+over tries of the vocabulary as it is spelled: an arc is a character, and it costs 0 if it shows what the token shows at
+that place, also if it shows nothing, or two letters as one; it costs 1 otherwise. All spellings reached at cost 0 look
+the same; the clean one among them is canonical, else (unmatched tokens) the spelling that the table of forms and
+look-alikes gives. Values without suspect characters are canonical. The vocabulary is divided by how tokens begin and how
+long they look, so that a token's trie holds all that could look like it and much that doesn't.
 
 Defined results: null and empty values have no canonical form and match nothing; repeated rows are all reported; line
 breaks and ordinary spaces are kept; letter case and missing accents matter; other columns are ignored.
@@ -37,11 +40,13 @@ IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x
 FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 KEEP = {0xE33, 0xEB3}
 _EMOJI = r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}\x{FE0F}\x{20E3}#*0-9"
-#: Counted rows up to which a table of tokens is broadcast.
+#: Counted rows up to which a table of parts or digests is broadcast.
 SMALL = 200_000
+#: Characters at a token's beginning that, with its length, name the part of the vocabulary it lies in.
+BEGINNING = 3
 #: Code points between two characters of the suspect class that are taken along.
 GAP = 40
-#: Tokens per shard of the trie.
+#: Tokens of the vocabulary per trie.
 SHARD = 20_000
 
 
@@ -118,48 +123,76 @@ def folded(c: Column) -> Column:
     return F.coalesce(fold_udf(F.when(suspect(c), c)), c)
 
 
+@lru_cache(100_000)
+def _shows(ch: str) -> tuple[str, ...]:
+    """What an eye sees of one character: base letters and marks one by one, the Latin letter of a look-alike."""
+    return tuple(unicodedata.normalize("NFD", fold(ch)))
+
+
+def arcs(token: str) -> list[tuple[str, tuple[str, ...]]]:
+    """(character, what it shows) of a token as it is spelled; a joiner or mark within an emoji shows itself, all other
+    ignorables show nothing."""
+    spelled = unicodedata.normalize("NFD", token)
+    if spelled.isascii():
+        return [(c, (c,)) for c in spelled]
+    kept = {m.start(1) + i for m in _fold_parts()[2].finditer(spelled) if m[1] for i in range(len(m[1]))}
+    return [(c, (c,) if i in kept else _shows(c)) for i, c in enumerate(spelled)]
+
+
 def symbols(token: str) -> list[str]:
-    """What an eye sees of a token: base letters and marks one by one, look-alikes as one letter, nothing invisible."""
-    return list(unicodedata.normalize("NFD", fold(token)))
+    """What an eye sees of a token."""
+    return [s for _, shown in arcs(token) for s in shown]
 
 
 class Trie:
-    """A vocabulary by symbols, walked by a weighted edit automaton: look-alikes and ignorables cost 0, edits 1."""
+    """A vocabulary by the characters of its spellings, walked by a weighted edit automaton: look-alikes and ignorables
+    cost 0, other insertions, deletions and replacements 1."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root: list = [{}, {}, []]  # arcs by the first thing shown, arcs that show nothing, entries
 
     def add(self, spelling: str, weight: int) -> None:
         node = self.root
-        for s in symbols(spelling):
-            node = node.setdefault(s, {})
-        node.setdefault("", []).append((spelling, weight))
+        for ch, shown in arcs(spelling):
+            below = node[0].setdefault(shown[0], {}) if shown else node[1]
+            step = below.get(ch)
+            if step is None:
+                step = below[ch] = (shown, [{}, {}, []])
+            node = step[1]
+        node[2].append((spelling, weight))
 
     def search(self, token: str, most: int = 0) -> list[tuple[int, str, int]]:
-        """(cost, spelling, weight) of all entries within ``most``."""
+        """(cost, spelling, weight) of all entries within ``most``, each at its least cost."""
         want = symbols(token)
-        if not most:
-            node = self.root
-            for s in want:
-                node = node.get(s)
-                if node is None:
-                    return []
-            return [(0, *x) for x in node.get("", [])]
-        found = []
-        todo: list[tuple[dict, list[int]]] = [(self.root, list(range(len(want) + 1)))]
+        todo: list[tuple[int, int, list]] = [(0, 0, self.root)]  # cost, symbols read, node
+        least: dict[tuple[int, int], int] = {}
+        found: dict[str, tuple[int, str, int]] = {}
         while todo:
-            node, row = todo.pop()
-            if row[-1] <= most:
-                found += [(row[-1], *x) for x in node.get("", [])]
-            for s, below in node.items():
-                if s == "":
+            cost, at, node = todo.pop()
+            if most:
+                if least.get((id(node), at), most + 1) <= cost:
                     continue
-                new = [row[0] + 1]
-                for i, w in enumerate(want):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (w != s)))
-                if min(new) <= most:
-                    todo.append((below, new))
-        return found
+                least[id(node), at] = cost
+            if at == len(want):
+                for spelling, weight in node[2]:
+                    if spelling not in found or found[spelling][0] > cost:
+                        found[spelling] = (cost, spelling, weight)
+            elif cost < most:
+                todo.append((cost + 1, at + 1, node))  # a symbol more than the spelling has
+            for _, below in node[1].values():
+                todo.append((cost, at, below))
+            if at < len(want):
+                for shown, below in node[0].get(want[at], {}).values():
+                    if tuple(want[at : at + len(shown)]) == shown:
+                        todo.append((cost, at + len(shown), below))
+            if cost < most:
+                for by in node[0].values():
+                    for shown, below in by.values():
+                        if cost + len(shown) <= most:
+                            todo.append((cost + len(shown), at, below))
+                        if at < len(want):
+                            todo.append((cost + len(shown), at + 1, below)) if cost + len(shown) <= most else None
+        return list(found.values())
 
 
 def _scripts(token: str) -> int:
@@ -167,6 +200,7 @@ def _scripts(token: str) -> int:
 
 
 def _walk(shard: pd.DataFrame) -> pd.DataFrame:
+    """The canonical spelling of every suspect token of a part of the vocabulary."""
     trie = Trie()
     for spelling, n in zip(shard["token"], shard["n"]):
         trie.add(spelling, int(n))
@@ -181,27 +215,42 @@ def _walk(shard: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tokens(c: str | Column) -> Column:
-    return F.split(c, r"[\s\p{Z}]+")
-
-
-def spellings(values: DataFrame) -> DataFrame:
-    """(token, canon) of every suspect token of ``values`` (value)."""
-    odd = values.filter(suspect(F.col("value"))).select(F.explode(F.array_distinct(_tokens("value"))).alias("token")).filter((F.col("token") != "") & suspect(F.col("token")))
-    odd = odd.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    odd = stage(odd.withColumn("key", fold_udf("token")), "look-odd")
-    keys = bounded(odd.select(F.col("key").alias("token")).distinct(), SMALL)
-    clean = values.select(F.explode(_tokens("value")).alias("token")).join(keys, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(~suspect(F.col("token")))
-    both = odd.select("token", "key", "n", F.lit(True).alias("odd")).unionByName(clean.select("token", F.col("token").alias("key"), "n", F.lit(False).alias("odd")))
-    shards = max(1, odd.count() // SHARD)
-    return stage(both.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: _walk(pdf), "token string, canon string"), "look-spellings")
-
-
-def canonical_values(values: DataFrame) -> DataFrame:
-    """(vh, canon) of every distinct suspect value; vh is the md5 of the value."""
-    odd = values.filter(suspect(F.col("value"))).groupBy(F.unhex(F.md5("value")).alias("vh")).agg(F.any_value("value").alias("value"))
-    odd = stage(odd, "look-values")
-    words = odd.select("vh", F.explode(F.array_distinct(_tokens("value"))).alias("token")).filter((F.col("token") != "") & suspect(F.col("token")))
-    known = words.join(spellings(values), "token").groupBy("vh").agg(F.map_from_entries(F.collect_list(F.struct("token", "canon"))).alias("known"))
+    """The runs of other characters than white space; matched by a compiled pattern, which splitting would not keep."""
+    return F.regexp_extract_all(c, F.lit(r"[^\s\p{Z}]+"), F.lit(0))
+
+
+def _part(looks: Column) -> Column:
+    """The part of the vocabulary that a token of this folded form lies in: its beginning and its length."""
+    return F.concat(F.substring(looks, 1, BEGINNING), F.length(looks).cast("string"))
+
+
+def spellings(odd_values: DataFrame, clean_values: DataFrame) -> DataFrame:
+    """(token, canon) of every suspect token of the distinct ``odd_values`` (value), by the vocabulary of both."""
+    pieces = odd_values.select(F.explode(_tokens("value")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("odd", suspect(F.col("token")))
+    pieces = stage(pieces, "look-tokens")
+    odd = stage(pieces.filter("odd").withColumn("part", _part(fold_udf("token"))), "look-odd")
+    parts = bounded(odd.select("part").distinct(), SMALL)
+    # what is not suspect looks as it is spelled
+    clean = clean_values.select(F.explode(_tokens("value")).alias("token")).withColumn("part", _part(F.col("token"))).join(parts, "part", "left_semi").groupBy("token", "part").agg(F.count(F.lit(1)).alias("n"))
+    near = pieces.filter("NOT odd").withColumn("part", _part(F.col("token"))).join(parts, "part", "left_semi").select("token", "part", "n")
+    both = odd.select("token", "part", "n", "odd").unionByName(clean.unionByName(near).select("token", "part", "n", F.lit(False).alias("odd")))
+    both = stage(both, "look-vocabulary")
+    shards = max(1, both.count() // SHARD)
+    return stage(both.groupBy(F.pmod(F.xxhash64("part"), F.lit(shards)).alias("shard")).applyInPandas(_walk, "token string, canon string"), "look-spellings")
+
+
+def _marked(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(row_id, field, vh, odd): every value by its md5, and the value itself where it is suspect. The one reading of the
+    rows that asks for suspects."""
+    long = long_values(rows, fields).withColumn("is_odd", suspect(F.col("value")))
+    return stage(long.select("row_id", "field", F.unhex(F.md5("value")).alias("vh"), F.when(F.col("is_odd"), F.col("value")).alias("odd")), "look-marked")
+
+
+def canonical_values(marked: DataFrame, long: DataFrame) -> DataFrame:
+    """(vh, canon) of every distinct suspect value of ``marked``; ``long`` are the values that it was made from."""
+    odd = stage(marked.filter("odd IS NOT NULL").groupBy("vh").agg(F.first("odd").alias("value")), "look-values")
+    words = odd.select("vh", F.explode(F.array_distinct(_tokens("value"))).alias("token")).filter(suspect(F.col("token")))
+    known = words.join(spellings(odd, long.filter(~suspect(F.col("value")))), "token").groupBy("vh").agg(F.map_from_entries(F.collect_list(F.struct("token", "canon"))).alias("known"))
     spaced = F.regexp_replace(F.regexp_replace("value", r"[\p{Zs}]", " "), r"(?<=\s)|(?=\s)", "\u0000")
     pieces = F.transform(F.split(spaced, "\u0000"), lambda w: F.coalesce(F.try_element_at("known", w), w))
     return odd.join(known, "vh", "left").select("vh", F.when(F.col("known").isNull(), F.regexp_replace("value", r"[\p{Zs}]", " ")).otherwise(F.array_join(pieces, "")).alias("canon"))
@@ -212,10 +261,10 @@ def long_values(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def canonical(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(row_id, field, canon) of every value."""
+    """(row_id, field, canon) of every value: the class of what looks the same, by its one spelling."""
     long = long_values(rows, fields)
-    done = canonical_values(long.select("value"))
-    odd = long.filter(suspect(F.col("value"))).withColumn("vh", F.unhex(F.md5("value"))).join(done, "vh").select("row_id", "field", "canon")
+    marked = _marked(rows, fields)
+    odd = marked.filter("odd IS NOT NULL").join(canonical_values(marked, long), "vh").select("row_id", "field", "canon")
     return long.filter(~suspect(F.col("value"))).select("row_id", "field", F.col("value").alias("canon")).unionByName(odd)
 
 
@@ -223,13 +272,11 @@ def found(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Pairs of records whose values look the same and are not the same string.
 
     Only classes with two or more spellings are joined, spelling against spelling, so equal copies never meet."""
-    long = long_values(rows, fields)
-    done = canonical_values(long.select("value")).select("vh", F.unhex(F.md5("canon")).alias("ch"))
-    marked = long.select("row_id", "field", F.unhex(F.md5("value")).alias("vh"), suspect(F.col("value")).alias("odd"))
-    odd = marked.filter("odd").join(done, "vh").select("row_id", "field", "vh", "ch")
-    odd = stage(odd, "look-rows")
-    plain = marked.filter("NOT odd").withColumn("ch", F.col("vh")).join(odd.select("field", "ch").distinct(), ["field", "ch"], "left_semi").select("row_id", "field", "vh", "ch")
-    met = stage(odd.unionByName(plain), "look-met")
+    marked = _marked(rows, fields)
+    done = stage(canonical_values(marked, long_values(rows, fields)).select("vh", F.unhex(F.md5("canon")).alias("ch")), "look-done")
+    odd = stage(marked.filter("odd IS NOT NULL").select("row_id", "field", "vh").join(bounded(done, SMALL), "vh"), "look-rows")
+    plain = marked.filter("odd IS NULL").select("row_id", "field", "vh").withColumn("ch", F.col("vh")).join(bounded(odd.select("field", "ch").distinct(), SMALL), ["field", "ch"], "left_semi").select("row_id", "field", "vh", "ch")
+    met = stage(odd.select("row_id", "field", "vh", "ch").unionByName(plain), "look-met")
     forms = met.select("field", "ch", "vh").distinct()
     pairs = forms.withColumnRenamed("vh", "va").join(forms.withColumnRenamed("vh", "vb"), ["field", "ch"]).filter("va < vb").select("field", "va", "vb")
     a = met.select(F.col("row_id").alias("ra"), "field", F.col("vh").alias("va"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloka.llm.lookalikes import fold
-from sparkloka.runtime import bounded, stage
+from sparkloka.runtime import bounded, release, stage
 
 SIMILARITY = 0.8
 #: Ratio of the bounds of a size class.
@@ -281,8 +281,9 @@ class Overlaps:
         side = lambda d, i: d.select(F.col("row_id").cast("bigint").alias("row_id"), F.lit(i).alias("side"), "text")
         rows = side(train, 0).unionByName(side(evaluation, 1)).filter("row_id IS NOT NULL AND text IS NOT NULL")
         records = stage(rows.mapInArrow(_records, "row_id bigint, side int, h1 bigint, h2 bigint, words string"), "overlap-records")
-        self.members = records.select("row_id", "side", "h1", "h2")
+        self.members = stage(records.select("row_id", "side", "h1", "h2"), "overlap-members")
         self.classes = stage(records.groupBy("h1", "h2").agg(F.bool_or(F.col("side") == 0).alias("train"), F.bool_or(F.col("side") == 1).alias("held"), F.first("words").alias("words")), "overlap-classes")
+        release(records)
         self.pairs = self._pairs()
 
     def _pairs(self) -> DataFrame:
@@ -301,6 +302,8 @@ class Overlaps:
         else:
             met = _meet(left, right, ["key"])
         met = stage(met.distinct(), "overlap-met")
+        release(left)
+        release(right)
         # only the candidates' words are moved, not those of all classes
         some = bounded(met.select(F.col("ha").alias("h1")).unionByName(met.select(F.col("hb").alias("h1"))).distinct(), 2 * SMALL)
         texts = stage(self.classes.select("h1", "h2", "words").join(some, "h1", "left_semi"), "overlap-words")

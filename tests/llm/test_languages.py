@@ -78,3 +78,11 @@ def tags_null():
     from pyspark.sql import functions as F
 
     return F.lit(1)
+
+
+def test_fit_sample_is_never_empty_however_many_documents(spark, monkeypatch):
+    for n in (1, 1_600, 10**9, 1_600_000_001, 10**12, 10**17):
+        assert 0 < G.share_of_hash(400, n) < 1 << 63
+    docs = spark.createDataFrame([(i, "id", "x" * 30_000 + str(i)) for i in range(30)], "doc_id long, lang string, text string")
+    got = G.fit_rows(docs, 5)
+    assert len(got) == 5 and all(len(t) == G.FIT_CHARS for _, t in got)

@@ -1,6 +1,8 @@
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparkloka.llm import lookalikes as L
 
@@ -25,6 +27,32 @@ def test_trie_costs():
     assert t.search("ba​kso") == [(0, "bakso", 5)]
     assert t.search("bakzo") == [] and t.search("bakzo", 1) == [(1, "bakso", 5)]
     assert sorted(t.search("sotto", 1)) == [(1, "soto", 2)]
+    assert t.search("bamso") == [] and sorted(t.search("bako", 2)) == [(1, "bakso", 5), (2, "bakмi", 1)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("aeoаеоéï\u0301\u0308і\u200b\u200d\ufe0f👨👩❤ﬀｋǌ1️ぎき\u3099"), max_size=8).map("".join), st.lists(st.sampled_from("aoаéе\u0301\u200dﬀf👨"), max_size=5).map("".join))
+def test_cost_nothing_is_looking_the_same(x, y):
+    t = L.Trie()
+    t.add(y, 1)
+    t.add(x, 1)
+    assert x in {h[1] for h in t.search(x)}
+    assert (y in {h[1] for h in t.search(x)}) is (L.fold(x) == L.fold(y))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abаο", max_size=5), st.text("abaо\u200b", max_size=5))
+def test_costs_are_edit_distances(x, y):
+    t = L.Trie()
+    t.add(y, 1)
+    a, b = L.fold(x), L.fold(y)
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, k in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (c != k)))
+        row = new
+    assert t.search(x, 2) == ([(row[-1], y, 1)] if row[-1] <= 2 else [])
 
 
 def test_pairs_against_brute_force(spark):
