@@ -36,9 +36,13 @@ def session(app: str = "sparkloka", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A temporary one is made only where that is unset and
+    the master is local, so that all tasks see this machine's disk; on a cluster an unset folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloka-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,9 +82,12 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast of ``df`` only if it is counted to hold at most ``rows`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int, size: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast of ``df`` only if it is counted to hold at most ``rows`` rows and ``size`` bytes; else leave the
+    join to Spark."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    some = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(wide, F.lit(16 * len(df.columns))).cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if some["n"] <= rows and some["b"] <= size else df
 
 
 def join_hot(rows: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "left") -> DataFrame:
@@ -108,9 +115,3 @@ def join_hot(rows: DataFrame, lookup: DataFrame, on: Sequence[str], weight: str,
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def blank_to_null(c: Column) -> Column:
-    """Trimmed; null for blank."""
-    t = F.trim(c)
-    return F.when(t != "", t)
