@@ -40,7 +40,7 @@ IGNORABLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x
 FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 KEEP = {0xE33, 0xEB3}
 _EMOJI = r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}\x{FE0F}\x{20E3}#*0-9"
-#: Counted rows up to which a table of parts or digests is broadcast.
+#: Counted rows up to which the names of parts are broadcast: beginnings and lengths, not tokens.
 SMALL = 200_000
 #: Characters at a token's beginning that, with its length, name the part of the vocabulary it lies in.
 BEGINNING = 3
@@ -274,8 +274,8 @@ def found(rows: DataFrame, fields: list[str]) -> DataFrame:
     Only classes with two or more spellings are joined, spelling against spelling, so equal copies never meet."""
     marked = _marked(rows, fields)
     done = stage(canonical_values(marked, long_values(rows, fields)).select("vh", F.unhex(F.md5("canon")).alias("ch")), "look-done")
-    odd = stage(marked.filter("odd IS NOT NULL").select("row_id", "field", "vh").join(bounded(done, SMALL), "vh"), "look-rows")
-    plain = marked.filter("odd IS NULL").select("row_id", "field", "vh").withColumn("ch", F.col("vh")).join(bounded(odd.select("field", "ch").distinct(), SMALL), ["field", "ch"], "left_semi").select("row_id", "field", "vh", "ch")
+    odd = stage(marked.filter("odd IS NOT NULL").select("row_id", "field", "vh").join(done, "vh"), "look-rows")
+    plain = marked.filter("odd IS NULL").select("row_id", "field", "vh").withColumn("ch", F.col("vh")).join(odd.select("field", "ch").distinct(), ["field", "ch"], "left_semi").select("row_id", "field", "vh", "ch")
     met = stage(odd.select("row_id", "field", "vh", "ch").unionByName(plain), "look-met")
     forms = met.select("field", "ch", "vh").distinct()
     pairs = forms.withColumnRenamed("vh", "va").join(forms.withColumnRenamed("vh", "vb"), ["field", "ch"]).filter("va < vb").select("field", "va", "vb")
