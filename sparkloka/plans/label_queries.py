@@ -17,29 +17,30 @@ def _rule_sql(source: str) -> str:
     t, c = "lower(coalesce(text, ''))", "lower(coalesce(query, ''))"
     parts = []
     for name, rule in RULES.items():
-        terms = []
-        for kw in rule["keywords"].split("|"):
-            hit = S.contains_word("t", kw)
-            terms.append(f"(CASE WHEN {hit} THEN 1.0::DOUBLE" + (f" WHEN {S.contains_word('c', kw)} THEN 0.75::DOUBLE" if rule["context"] else "") + " ELSE 0 END)")
+        words = rule["keywords"].split("|")
+        hits = [f"CASE WHEN {S.contains_word('t', w)} THEN '{w}'" + (f" WHEN {S.contains_word('c', w)} THEN 'query:{w}'" if rule["context"] else "") + " END" for w in words]
         if name == "COMPLAINT":
-            terms += [f"(CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END)" for p, w in COMPLAINT_PATTERNS]
+            hits += [f"CASE WHEN regexp_matches(t, '{p}') THEN 'regex:{p}' END" for p, _ in COMPLAINT_PATTERNS]
         veto = " OR ".join(S.contains_word("t", v) for v in rule["vetoes"].split("|") if v) or "FALSE"
-        parts.append(f"SELECT row_id, '{name}' AS label, {PRIORITY[name]} AS p, CASE WHEN {veto} THEN 0 ELSE {' + '.join(terms)} END AS s FROM b")
+        parts.append(f"SELECT row_id, '{name}' AS label, {PRIORITY[name]} AS p, CASE WHEN {veto} THEN [] ELSE list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) END AS h FROM b")
+    worth = "CASE WHEN starts_with(x, 'query:') THEN 0.75::DOUBLE " + " ".join(f"WHEN x = 'regex:{p}' THEN {w}::DOUBLE" for p, w in COMPLAINT_PATTERNS) + " ELSE 1 END"
+    kind = "CASE WHEN starts_with(x, 'query:') THEN 1 WHEN starts_with(x, 'regex:') THEN 2 ELSE 0 END"
     return f"""WITH b AS (SELECT row_id, {t} AS t, {c} AS c FROM {source}), a AS ({' UNION ALL '.join(parts)}),
-m AS (SELECT row_id, label, s FROM a QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, p DESC) = 1)
-SELECT row_id, CASE WHEN s > 0 THEN label ELSE 'NEUTRAL' END AS label, CASE WHEN s >= 2.5 THEN 1.0::DOUBLE WHEN s >= 1.5 THEN 0.8::DOUBLE WHEN s > 0 THEN 0.6::DOUBLE ELSE 0::DOUBLE END AS confidence, s::DOUBLE AS score FROM m"""
+s AS (SELECT row_id, label, p, h, coalesce(list_sum(list_transform(h, lambda x: {worth})), 0) AS s FROM a),
+m AS (SELECT row_id, label, s, list_concat(list_filter(h, lambda x: {kind} = 0), list_concat(list_filter(h, lambda x: {kind} = 1), list_filter(h, lambda x: {kind} = 2))) AS h FROM s QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY s DESC, p DESC) = 1)
+SELECT row_id, CASE WHEN s > 0 THEN label ELSE 'NEUTRAL' END AS label, CASE WHEN s >= 2.5 THEN 1.0::DOUBLE WHEN s >= 1.5 THEN 0.8::DOUBLE WHEN s > 0 THEN 0.6::DOUBLE ELSE 0::DOUBLE END AS confidence, s::DOUBLE AS score, array_to_string(h, '|') AS matched FROM m"""
 
 
 _WEAK = _rule_sql("weak_labeled")
 
 
-def labelled(s, d, name="weak_labeled"):
-    return rules.label(table(s, d, name).select("row_id", "text", "query"), "text", "query")
+def labelled(s, d, *more, name="weak_labeled"):
+    return rules.label(table(s, d, name).select("row_id", "text", "query", *more), "text", "query")
 
 
 @query("weak_label", _WEAK)
 def weak_label(s, d):
-    return labelled(s, d).select("row_id", "label", "confidence", "score")
+    return labelled(s, d).select("row_id", "label", "confidence", "score", F.array_join("matched", "|").alias("matched"))
 
 
 @query("rule_distribution", f"SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS pct, round(avg(CASE WHEN confidence >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS high_rate FROM ({_WEAK}) GROUP BY 1")
@@ -94,7 +95,8 @@ SELECT label, support, round(prec, 6) AS prec, round(recall, 6) AS recall, round
 
 
 def pairs(s, d):
-    return weak_label(s, d).select("row_id", F.col("label").alias("guess")).join(table(s, d, "weak_labeled").select("row_id", F.col("signal").alias("truth")), "row_id").filter("truth IS NOT NULL").select("truth", "guess")
+    """The label that arrived with a record and the rule book's, read in one pass."""
+    return labelled(s, d, "signal").filter("signal IS NOT NULL").select(F.col("signal").alias("truth"), F.col("label").alias("guess"))
 
 
 @query("class_report", _REPORT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloka.functions import text as T
+from sparkloka.operators.rows import keep_one
 from sparkloka.plans import sql_text as S
 from sparkloka.plans.registry import query
 from sparkloka.runtime import table
@@ -104,6 +105,37 @@ def text_candidates(s, d):
     return table(s, d, "signal_train").select("row_id", F.posexplode(T.candidates(F.col("text"))).alias("i", "cand")).select("row_id", (F.col("i") + 1).cast("long").alias("pos"), "cand")
 
 
+_STRICT = f"({_IS_STRICT})"
+_RAW = "CASE WHEN coalesce(raw_text, '') <> '' THEN raw_text ELSE coalesce(text, '') END"
+_LIVE_CAND = _CAND.replace(f"SELECT row_id, {S.strip_emoji('text')} AS raw FROM signal_train", f"SELECT row_id, {S.strip_emoji(_RAW)} AS raw FROM social_bootstrap").replace("\\\\", "\\")
+_CHUNKS = rf"string_split(regexp_replace(regexp_replace({_RAW}, '[\n\r]+|,\s+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_LIVE = f"""
+WITH cand AS ({_LIVE_CAND}),
+chunk AS (SELECT row_id, unnest(list_transform({_CHUNKS}, lambda x, i: {{'i': i, 'x': x}})) AS u FROM social_bootstrap),
+more AS (SELECT row_id, 100 + u.i AS i, {S.normal('u.x')} AS cand FROM chunk),
+made AS (SELECT row_id, pos AS i, cand FROM cand UNION ALL SELECT row_id, i, cand FROM more WHERE length(cand) BETWEEN 8 AND 180),
+every AS (SELECT * FROM made UNION ALL SELECT row_id, 0, {S.normal('text')} FROM social_bootstrap WHERE row_id NOT IN (SELECT row_id FROM made)),
+placed AS (SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i) - 1 AS k, cand AS normal FROM every WHERE cand <> ''),
+scored AS (SELECT row_id, k, normal, {', '.join(f'{v} AS n_{n}' for n, v in S.scores('normal').items())} FROM placed),
+first AS (SELECT row_id, k, normal FROM scored WHERE {_STRICT} QUALIFY row_number() OVER (PARTITION BY {S.squeeze(S.rep('normal', r'[^a-z0-9_\s]', ' '))} ORDER BY row_id, k) = 1)
+SELECT row_id, k::BIGINT AS candidate_index, normal AS text, CASE WHEN trim(coalesce(content_id, '')) <> '' THEN trim(content_id) || ':' || k ELSE k::VARCHAR END AS content_id, city FROM first JOIN social_bootstrap USING (row_id)
+"""
+
+
+@query("live_expand", _LIVE)
+def live_expand(s, d):
+    """Posts as rows of their candidates in strictly Indonesian words, each with an id of its own; the first of each
+    dedupe key in order of the rows. Keys are compared by digest and only winners carry their fields on."""
+    t = table(s, d, "social_bootstrap").select("row_id", "content_id", "city", T.live_candidates(F.col("raw_text"), F.col("text")).alias("c"))
+    t = t.select("row_id", "content_id", "city", F.posexplode("c").alias("i", "normal"))
+    own = T.language_scores(F.col("normal"))
+    t = t.withColumns({f"n_{k}": v for k, v in own.items()}).filter(T.is_indonesian(_cols(), True))
+    t = t.select("row_id", F.col("i").cast("long").alias("candidate_index"), F.col("normal").alias("text"), "content_id", "city", F.md5(T.key_of_normal(F.col("normal"))).alias("key"))
+    one = keep_one(t, ["key"], [F.col("row_id"), F.col("candidate_index")])
+    cid = F.trim(F.coalesce("content_id", F.lit("")))
+    return one.select("row_id", "candidate_index", "text", F.when(cid != "", F.concat_ws(":", cid, "candidate_index")).otherwise(F.col("candidate_index").cast("string")).alias("content_id"), "city")
+
+
 _SPLIT = "CASE WHEN ('0x' || substr(sha256(text), 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr(sha256(text), 1, 8))::BIGINT % 100 < 90 THEN 'validation' ELSE 'test' END"
 
 
