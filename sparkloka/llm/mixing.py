@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloka.llm.tokens import encode
 from sparkloka.runtime import stage
@@ -50,31 +51,30 @@ def sized(docs: DataFrame, targets: DataFrame, path: str | None = None) -> tuple
 def thresholds(docs: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[int, int]]:
     """For each source the hash prefix below which its documents add up to its budget: (bits, prefix), prefix excluded.
 
-    Each round reads one histogram of at most 2^BITS buckets for each source still open."""
-    spent = dict.fromkeys(budgets, 0.0)
-    prefix = dict.fromkeys(budgets, 0)
-    level, done, open_ = 0, {}, {s for s, b in budgets.items() if b > 0}
+    Each round sums a histogram of at most 2^BITS buckets for each source still open, adds it up in the cluster, and
+    brings home the one bucket of each source in which its budget runs out."""
+    spark = docs.sparkSession
+    level, done = 0, {}
+    open_ = {s: (0, 0.0) for s, b in budgets.items() if b > 0}  # prefix, tokens before it
+    upto = Window.partitionBy("source").orderBy("b")
     while open_ and BITS * (level + 1) <= 60:
-        cond = F.lit(False)
-        for s in sorted(open_):
-            inside = F.lit(True) if level == 0 else F.shiftrightunsigned("h", 64 - BITS * level) == F.lit(prefix[s])
-            cond = cond | ((F.col("source") == s) & inside)
-        hist: dict[str, list[tuple[int, int, int]]] = {}
-        for r in docs.filter(cond).groupBy("source", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():
-            hist.setdefault(r["source"], []).append((r["b"], r["t"], r["n"]))
-        for s in sorted(open_):
-            for b, t, n in sorted(hist.get(s, [])):
-                here = (prefix[s] << BITS) | b
-                if spent[s] + t > budgets[s]:
-                    if n == 1 or BITS * (level + 2) > 60:  # one document: taken if that comes nearer the budget
-                        take = (budgets[s] - spent[s]) * 2 > t
-                        done[s] = (BITS * (level + 1), here + take)
-                    prefix[s] = here
-                    break
-                spent[s] += t
-            else:  # the whole bucket fits
-                done[s] = (BITS * (level + 1), (prefix[s] + 1) << BITS)
-        open_ -= done.keys()
+        at = spark.createDataFrame([(s, p, x, float(budgets[s])) for s, (p, x) in open_.items()], "source string, prefix bigint, spent double, budget double")
+        inside = F.lit(True) if level == 0 else F.shiftrightunsigned("h", 64 - BITS * level) == F.col("prefix")
+        hist = docs.join(F.broadcast(at), "source").filter(inside).groupBy("source", "spent", "budget", _bucket(level).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+        sums = hist.withColumn("after", F.col("spent") + F.sum("t").over(upto)).withColumn("before", F.col("after") - F.col("t"))
+        edge = {r["source"]: r for r in sums.filter("before <= budget AND after > budget").select("source", "b", "t", "n", "before").collect()}  # one a source
+        left = {}
+        for s, (prefix, _) in open_.items():
+            if s not in edge:  # the whole bucket fits
+                done[s] = (BITS * (level + 1), (prefix + 1) << BITS)
+                continue
+            r = edge[s]
+            here = (prefix << BITS) | r["b"]
+            if r["n"] == 1 or BITS * (level + 2) > 60:  # one document: taken if that comes nearer the budget
+                done[s] = (BITS * (level + 1), here + ((budgets[s] - r["before"]) * 2 > r["t"]))
+            else:
+                left[s] = (here, r["before"])
+        open_ = left
         level += 1
     return done
 
@@ -92,14 +92,10 @@ def mix(docs: DataFrame, targets: DataFrame, size: float | None = None, path: st
     laps = {s: min(int(b // have[s][0]), wanted[s][1]) for s, b in budget.items()}
     rest = {s: budget[s] - laps[s] * have[s][0] for s in budget}
     cuts = thresholds(sizes, {s: x for s, x in rest.items() if x > 0 and laps[s] < wanted[s][1]})
-    copies = F.lit(0)
-    for s in sorted(budget):
-        more = F.lit(0)
-        if s in cuts:
-            bits, edge = cuts[s]
-            more = (F.shiftrightunsigned("h", 64 - bits) < F.lit(edge)).cast("int")
-        copies = F.when(F.col("source") == s, F.lit(laps[s]) + more).otherwise(copies)
-    chosen = sizes.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
+    plan = [(s, laps[s], *cuts.get(s, (BITS, 0))) for s in budget]  # one row a source that is used
+    chosen = sizes.join(F.broadcast(spark.createDataFrame(plan, "source string, laps int, bits int, edge bigint")), "source")
+    more = (F.expr("shiftrightunsigned(h, 64 - bits)") < F.col("edge")).cast("int")
+    chosen = chosen.select("doc_id", "source", "n_tokens", (F.col("laps") + more).cast("int").alias("copies")).filter("copies > 0")
     sums = {r["source"]: (r["t"], r["n"], r["c"]) for r in chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"), F.count(F.lit(1)).alias("n"), F.max("copies").alias("c")).collect()}
     total = sum(t for t, _, _ in sums.values())
     rows = [

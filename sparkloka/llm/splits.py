@@ -3,7 +3,8 @@
 Records naming the same account or page are related. Every key (account or page) is contracted to the smallest
 row id that names it, so the graph to solve has row ids as vertices and only records naming several keys as edges.
 Each round every vertex draws a coin; a tails vertex with a heads neighbour collapses into the smallest such
-neighbour, edges are rewritten and deduplicated, until none is left. Labels are then unwound, last round first.
+neighbour, edges are rewritten and deduplicated, until none is left. Labels are then unwound, last round first. A round is
+a few joins; once no more than REST edges are left, their rounds are run within one task, by the same contraction.
 
 Defined results: a record without account and page is a group of its own; null or repeated row ids are kept in the
 splits (a repeated row id is one record); empty tables give empty results; other columns are ignored.
@@ -11,8 +12,10 @@ splits (a repeated row id is one record); empty tables give empty results; other
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +34,9 @@ CELLS = 4096
 #: Counted rows up to which a round's merges (two bigints a row) are broadcast and its edges kept in one file.
 SMALL = 200_000
 
+#: Edges up to which the remaining rounds are run in one task.
+REST = 20_000
+
 _SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -72,6 +78,28 @@ def _meet(rows: DataFrame, lookup: DataFrame, on: str, n_lookup: int, total: int
     return join_hot(rows, lookup, [on], "n", total, "left").drop("n")
 
 
+def _mated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(child, parent) of the vertices of a few edges (u, v) that end up under another: random-mate rounds in memory."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not ends:
+        return
+    vertices, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label, k = np.arange(len(vertices)), 0
+    while len(a):
+        heads = np.random.default_rng(k).random(len(vertices)) < 0.5
+        one, two = ~heads[a] & heads[b], ~heads[b] & heads[a]
+        parent = np.full(len(vertices), len(vertices))
+        np.minimum.at(parent, np.concatenate([a[one], b[two]]), np.concatenate([b[one], a[two]]))
+        parent = np.where(parent < len(vertices), parent, np.arange(len(vertices)))
+        label, a, b = parent[label], parent[a], parent[b]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        a, b = pairs
+        k += 1
+    moved = label != np.arange(len(vertices))
+    yield pa.RecordBatch.from_arrays([pa.array(vertices[moved]), pa.array(vertices[label[moved]])], ["child", "parent"])
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """Random-mate contraction of undirected ``edges`` (u, v: bigint). Returns (vertex, top): for every vertex that
     has an edge the smallest vertex of its component."""
@@ -80,6 +108,11 @@ def contract(edges: DataFrame) -> DataFrame:
     merges: list[tuple[DataFrame, int]] = []
     while (m := edges.count()) > 0:
         k = len(merges)
+        if m <= REST:
+            mates = stage(edges.coalesce(1).mapInArrow(_mated, "child bigint, parent bigint"), "mate-rest")
+            merges.append((mates, mates.count()))
+            release(edges)
+            break
         pack = (lambda d: d.coalesce(1)) if m <= SMALL else (lambda d: d)
         ends = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         mates = ends.filter(~_coin("u", k)).groupBy(F.col("u").alias("child")).agg(F.min(F.when(_coin("v", k), F.col("v"))).alias("parent"), F.count(F.lit(1)).alias("n")).filter("parent IS NOT NULL")

@@ -12,12 +12,14 @@ are encoded as they are; repeated documents are encoded each; other columns are
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(f"{name}.tiktoken"))
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+def load_ranks(lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
 
 
 def inner_pairs(ranks: dict[bytes, int]) -> frozenset[tuple[int, int]]:
@@ -50,10 +51,10 @@ def inner_pairs(ranks: dict[bytes, int]) -> frozenset[tuple[int, int]]:
 class Encoder:
     """Encodes texts by fragments between forced boundaries."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import tiktoken
 
-        ranks = load_ranks(path)
+        ranks = load_ranks(vocabulary)
         self.pairs = inner_pairs(ranks)
         self.bpe = tiktoken.Encoding("own", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.seen: dict[str, list[int]] = {}
@@ -108,14 +109,20 @@ class Encoder:
         return ids
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
 
 
-def _mapper(path: str, keep: int, count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(digest: str, vocabulary: Broadcast) -> Encoder:
+    """The encoder of a vocabulary, made once a worker."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(vocabulary.value)
+    return _encoders[digest]
+
+
+def _mapper(vocabulary: Broadcast, digest: str, keep: int, count_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = _encoder(digest, vocabulary)
         for batch in batches:
             texts = batch.column(keep).to_pylist()
             kept = [batch.column(i) for i in range(keep)]
@@ -131,8 +138,12 @@ def _mapper(path: str, keep: int, count_only: bool) -> Callable[[Iterator[pa.Rec
 
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, count_only: bool = False) -> DataFrame:
-    """``keep`` columns with ``ids`` (array of int), or with ``n_tokens`` (bigint)."""
+    """``keep`` columns with ``ids`` (array of int), or with ``n_tokens`` (bigint).
+
+    The vocabulary's file (about a megabyte) is read where this is called and sent to the workers."""
+    lines = Path(path or vocabulary_path()).read_bytes()
+    sent = docs.sparkSession.sparkContext.broadcast(lines)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     made = "n_tokens bigint" if count_only else "ids array<int>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_mapper(path or vocabulary_path(), len(keep), count_only), f"{schema}, {made}")
+    return rows.mapInArrow(_mapper(sent, hashlib.md5(lines).hexdigest(), len(keep), count_only), f"{schema}, {made}")

@@ -25,9 +25,10 @@ def brute(pairs):
     return {x: min(v) for v in tops.values() for x in v}
 
 
-@pytest.mark.parametrize("small", [200_000, 3])
-def test_contraction_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, rest", [(200_000, 0), (3, 0), (3, 100), (200_000, 20_000)])
+def test_contraction_against_brute_force(spark, monkeypatch, small, rest):
     monkeypatch.setattr(splits, "SMALL", small)
+    monkeypatch.setattr(splits, "REST", rest)
     rng = random.Random(5)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(60)]
     got = {r["vertex"]: r["top"] for r in splits.contract(spark.createDataFrame(pairs, "u long, v long")).collect()}
