@@ -7,18 +7,24 @@ defaults and is marked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloka.constants import ALIASES, BUSINESSES, CITIES, DEFAULT_BUSINESS, DEFAULT_CITY, TEMPLATES
+from sparkloka.constants import ALIASES, BUSINESSES, CITIES, DEFAULT_BUSINESS, DEFAULT_CITY, PROXIMITY, TEMPLATES
+from sparkloka.functions import text as T
 from sparkloka.functions.text import dedupe_key, normalize_text, offsets, tokens
-from sparkloka.runtime import bounded
+from sparkloka.runtime import bounded, stage
 
 AREAS = [(city, area) for city, areas in CITIES.items() for area in areas]
 ALIAS_ORDER = sorted(ALIASES.items(), key=lambda kv: len(kv[0]), reverse=True)
+#: Counted places up to which they are broadcast.
+PLACES = 200_000
 BUSINESS_ORDER = sorted(BUSINESSES, key=len, reverse=True)
 
 
@@ -83,23 +89,125 @@ def relevance(corpus: DataFrame, city: str, scope: list[str], business: str, que
     return rows.withColumn("relevance", score.cast("long")).drop("__b", "__n")
 
 
-def resolve(rows: DataFrame, text: str, city: str, area: str) -> DataFrame:
-    """Adds resolved_city, resolved_area, source: a district after a proximity word, else one named anywhere, else the
-    hints as they are found in the catalogue, else the city alone."""
-    key = dedupe_key(F.col(text))
-    rows = rows.withColumn("__k", F.concat(F.lit(" "), key, F.lit(" ")))
-    ordered = AREAS
-    near, named = F.lit(None).cast("string"), F.lit(None).cast("string")
-    prox = "(?:deket|dekat|sekitar|di|daerah|kawasan|area)"
-    for c, a in reversed(ordered):
-        fits = (F.col(city) == c) | F.coalesce(F.col(city), F.lit("")).isin("") | ~F.col(city).isin(list(CITIES))
-        near = F.when(fits & F.col("__k").rlike(f" {prox} {a.lower()} "), f"{c}|{a}").otherwise(near)
-        named = F.when(fits & F.contains(F.col("__k"), F.lit(f" {a.lower()} ")), f"{c}|{a}").otherwise(named)
-    hinted = F.when(F.concat_ws("|", city, area).isin([f"{c}|{a}" for c, a in AREAS]), F.concat_ws("|", city, area))
-    alone = F.when(F.col(city).isin(list(CITIES)), F.concat(F.col(city), F.lit("|")))
-    hit = F.coalesce(near, named, hinted, alone, F.lit("|"))
-    source = F.when(near.isNotNull(), "text_proximity").when(named.isNotNull(), "text_area").when(hinted.isNotNull(), "hint_area").when(alone.isNotNull(), "hint_city").otherwise("unresolved")
-    return rows.withColumn("__hit", F.split(hit, r"\|")).withColumns({"resolved_city": F.col("__hit")[0], "resolved_area": F.col("__hit")[1], "source": source}).drop("__hit", "__k")
+_NEAR = re.compile(rf"(?:{'|'.join(PROXIMITY)})\s+([a-z]+(?:\s+[a-z]+){{0,2}})")
+_KEYS = {T.keyed(T.normal(a)): (c, a) for c, a in AREAS}
+_CITY_KEYS = {T.keyed(T.normal(c)): c for c in CITIES}
+_LETTERS = {k: frozenset(k) for k in _KEYS}
+
+
+@lru_cache(200_000)
+def close_area(name: str, cutoff: float) -> list[str]:
+    """Keys of the districts whose gestalt ratio with a name is ``cutoff`` or more, the closest first.
+
+    A ratio r leaves at most (1 - r)(a + b) of all letters unmatched, so most districts are told by length and letters."""
+    out = []
+    letters = frozenset(name)
+    for k, own in _LETTERS.items():
+        room = (1 - cutoff) * (len(k) + len(name)) + 1e-9
+        if abs(len(k) - len(name)) <= room and len(own ^ letters) <= room and (r := SequenceMatcher(None, k, name).ratio()) >= cutoff:
+            out.append((r, k))
+    return [k for _, k in sorted(out, reverse=True)]
+
+
+def find_area(text: str, city: str, allowed: frozenset[str] | None = None) -> tuple[str, str, str] | None:
+    """(city, district, source) of the district that a text names: right after a proximity word, else anywhere as a
+    whole, else misspelled (its first three words at 0.88 or any one to three words at 0.90)."""
+    key = T.keyed(T.normal(text))
+    fits = lambda k: k in _KEYS and (not city or _KEYS[k][0] == city) and (not allowed or _KEYS[k][1] in allowed)
+    for m in _NEAR.finditer(text.strip().lower()):
+        if fits(k := T.keyed(T.normal(m[1]))):
+            return (*_KEYS[k], "text_proximity_pattern")
+    padded = f" {key} "
+    for k in _KEYS:
+        if f" {k} " in padded and fits(k):
+            return (*_KEYS[k], "text_area_match")
+    words = key.split()
+    windows = [(" ".join(words[:3]), 0.88), *((" ".join(words[i : i + n]), 0.9) for n in (1, 2, 3) for i in range(len(words) - n + 1))]
+    for name, cutoff in windows:
+        if name and (k := next(filter(fits, close_area(name, cutoff)), None)):
+            return (*_KEYS[k], "text_fuzzy_match")
+    return None
+
+
+def points_of(poi: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From places (ord, city, area, name, lat, lng, source): one point for each (city, key), reviews (the last one)
+    before all else (the first one); and the mean points of cities, and of districts by reviews. Both coordinates are
+    averaged over what they have; a key of no letters names nothing."""
+    p = poi.select("ord", F.trim("city").alias("city"), F.trim("area").alias("area"), dedupe_key(F.col("name")).alias("key"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), F.col("source").alias("poi_source"), (F.col("source") == "gmaps_place").alias("__r"))
+    one = p.filter("city IS NOT NULL AND key <> '' AND lat IS NOT NULL AND lng IS NOT NULL")
+    one = one.groupBy("city", "key").agg(F.min_by(F.struct("lat", "lng", "poi_source"), F.struct(~F.col("__r"), F.when(F.col("__r"), -F.col("ord")).otherwise(F.col("ord")))).alias("x")).select("city", "key", "x.*")
+    mean = lambda d, *by: d.groupBy(*by).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng")).dropna(subset=[*by, "lat", "lng"])
+    return one, mean(p, "city"), mean(p.filter("__r"), "city", "area")
+
+
+def resolve(rows: DataFrame, text: str, city: str, area: str, poi: DataFrame | None = None, allowed: Sequence[str] | None = None, entity: bool = False) -> DataFrame:
+    """Adds resolved_city, resolved_area, lat, lng, source to rows with a text, a city hint and an area hint.
+
+    The district that the text names (not asked where the text is an ``entity``); else the text as a whole as a place of
+    the city, a city, a district (of the city if it can be), or a place that only one city has; else the hints, by the
+    mean point of their district or city. ``poi`` as in ``points_of``; ``allowed`` bounds the districts named in texts.
+    Null hints count as empty; texts without letters or digits are "unresolved" and keep their hints."""
+    only = frozenset(allowed) if allowed else None
+
+    @F.pandas_udf("key string, named struct<city:string,area:string,source:string>, known struct<city:string,area:string,source:string>")
+    def read(texts: pd.Series, cities: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, c in zip(texts, cities):
+            key = T.keyed(T.normal(t))
+            named = find_area(t, c, only) if key and not entity else None
+            known = (_CITY_KEYS[key], "", "city_catalog") if key in _CITY_KEYS else (*_KEYS[key], "area_catalog") if key in _KEYS else None
+            out.append((key, *(dict(zip(("city", "area", "source"), x)) if x else None for x in (named, known))))
+        return pd.DataFrame(out, columns=["key", "named", "known"])
+
+    hint = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    made = rows.withColumn("__city", hint(city)).withColumn("__area", hint(area)).withColumn("__x", read.asNondeterministic()(F.coalesce(text, F.lit("")), "__city"))
+    made = made.withColumn("__key", F.col("__x.key"))
+    if poi is None:
+        poi = rows.sparkSession.createDataFrame([], "ord long, city string, area string, name string, lat double, lng double, source string")
+    one, cities, areas = points_of(poi)
+    one = stage(one, "places")
+    as_ = lambda d, **names: d.select(*[F.col(c).alias(n) for c, n in names.items()])
+    alone = one.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("lat").alias("__ulat"), F.first("lng").alias("__ulng"), F.first("poi_source").alias("__usource")).filter("n = 1").drop("n").withColumnRenamed("key", "__key")
+    made = made.join(bounded(as_(one, city="__city", key="__key", lat="__plat", lng="__plng", poi_source="__psource"), PLACES), ["__city", "__key"], "left").join(bounded(alone, PLACES), "__key", "left")
+    hints = F.struct(F.col("__city").alias("city"), F.col("__area").alias("area"))
+    where = lambda s: F.struct(F.col(f"__x.{s}.city").alias("city"), F.col(f"__x.{s}.area").alias("area"))
+    step = F.when(F.col("__key") == "", "none").when(F.col("__x.named").isNotNull(), "named").when(F.col("__plat").isNotNull(), "poi").when(F.col("__x.known").isNotNull(), "known").when(F.col("__ulat").isNotNull(), "alone").otherwise("hints")
+    made = made.withColumn("__step", step).withColumn("__at", F.when(F.col("__step") == "named", where("named")).when(F.col("__step") == "known", where("known")).otherwise(hints))
+    made = made.withColumns({"resolved_city": F.col("__at.city"), "resolved_area": F.col("__at.area")})
+    made = made.join(bounded(as_(areas, city="resolved_city", area="resolved_area", lat="__alat", lng="__alng"), PLACES), ["resolved_city", "resolved_area"], "left").join(bounded(as_(cities, city="resolved_city", lat="__clat", lng="__clng"), PLACES), "resolved_city", "left")
+
+    def point(x: str) -> Column:
+        mean = F.when((F.col("resolved_area") != "") & F.col(f"__a{x}").isNotNull(), F.col(f"__a{x}")).otherwise(F.col(f"__c{x}"))
+        return F.when(F.col("__step") == "poi", F.col(f"__p{x}")).when(F.col("__step") == "alone", F.col(f"__u{x}")).when(F.col("__step") != "none", mean)
+
+    by_hint = F.when((F.col("__area") != "") & F.col("__alat").isNotNull(), "area_centroid").when(F.col("__clat").isNotNull(), "city_centroid").otherwise("unresolved")
+    source = F.when(F.col("__step") == "named", F.col("__x.named.source")).when(F.col("__step") == "poi", F.col("__psource")).when(F.col("__step") == "known", F.col("__x.known.source")).when(F.col("__step") == "alone", F.col("__usource")).when(F.col("__step") == "hints", by_hint).otherwise("unresolved")
+    return made.select(*rows.columns, "resolved_city", "resolved_area", point("lat").alias("lat"), point("lng").alias("lng"), source.alias("source"))
+
+
+def choose(rows: DataFrame, city: str, scope: Sequence[str], poi: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Rows (row_id, text, area_hint) placed in the asked districts, others left out; adds resolved_city, resolved_area,
+    lat, lng, source.
+
+    The first of ``entities`` (row_id, pos, entity) that lies in one of the districts; else the row's own hint; else what
+    its text resolves to; else the only district asked for."""
+    asked = rows.withColumn("__asked", F.lit(city))
+    seeded = F.trim(F.coalesce("area_hint", F.lit(""))).isin(list(scope))
+    own = resolve(asked.filter(seeded).withColumn("__own", F.trim("area_hint")), "__own", "__asked", "__own", poi, entity=True).drop("__own")
+    own = own.withColumns({"resolved_city": F.lit(city), "resolved_area": F.trim("area_hint"), "source": F.lit("seed_area_hint")})
+    text = resolve(asked.filter(~seeded), "text", "__asked", "area_hint", poi, scope)
+    if len(scope) == 1:
+        only = resolve(asked.filter(~seeded).select("row_id", "__asked").withColumn("__only", F.lit(scope[0])), "__only", "__asked", "__only", poi, entity=True).select("row_id", F.col("lat").alias("__lat"), F.col("lng").alias("__lng"))
+        text = text.join(only.dropDuplicates(["row_id"]), "row_id", "left")
+        empty = F.col("resolved_area") == ""
+        text = text.withColumns({"source": F.when(empty, "query_scope_fallback").otherwise(F.col("source")), "lat": F.when(empty, F.col("__lat")).otherwise(F.col("lat")), "lng": F.when(empty, F.col("__lng")).otherwise(F.col("lng")), "resolved_city": F.when(empty, city).otherwise(F.col("resolved_city")), "resolved_area": F.when(empty, scope[0]).otherwise(F.col("resolved_area"))}).drop("__lat", "__lng")
+    out = own.unionByName(text).drop("__asked").filter(F.col("resolved_area").isin(list(scope)) | F.lit(entities is not None))
+    if entities is not None:
+        e = resolve(entities.join(rows.select("row_id", "area_hint").dropDuplicates(["row_id"]), "row_id").withColumn("__asked", F.lit(city)), "entity", "__asked", "area_hint", poi, entity=True)
+        best = e.filter(F.col("resolved_area").isin(list(scope))).groupBy("row_id").agg(F.min_by(F.struct("resolved_area", "lat", "lng", "source"), "pos").alias("__e"))
+        out = out.join(best, "row_id", "left")
+        out = out.withColumns({c: F.when(F.col("__e").isNotNull(), F.col(f"__e.{c}")).otherwise(F.col(c)) for c in ("resolved_area", "lat", "lng", "source")}).withColumn("resolved_city", F.lit(city)).drop("__e").filter(F.col("resolved_area").isin(list(scope)))
+    return out
 
 
 def gazetteer(rows: DataFrame, id_col: str, text: str, terms: list[tuple[str, str]]) -> DataFrame:
@@ -147,26 +255,22 @@ def own_terms(rows: DataFrame, id_col: str, text: str, city: str, area: str, nam
     return met.unionByName(hinted).select(id_col, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "label")
 
 
-def fuzzy_area(rows: DataFrame, id_col: str, name: str, cutoff: float = 0.88) -> DataFrame:
-    """(id, name, area, ratio): the closest district by the gestalt ratio of the normalised names, from ``cutoff`` up.
-
-    Distinct names are matched once, in Python, for no built-in expression knows the ratio."""
-    keys = [a.lower() for _, a in AREAS]
+def fuzzy_area(rows: DataFrame, id_col: str, text: str, cutoff: float = 0.9) -> DataFrame:
+    """(id, window, area, ratio): every run of one to three words of a text with its closest district, by the gestalt
+    ratio of the normalised names, from ``cutoff`` up. Each distinct run of a batch is matched once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
         for pdf in batches:
             out = []
-            for n in pdf["key"]:
-                best = max(((SequenceMatcher(None, k, n).ratio(), k) for k in keys), default=(0.0, ""))
-                if best[0] >= cutoff:
-                    out.append((n, AREAS[keys.index(best[1])][1], round(best[0], 6)))
-            yield pd.DataFrame(out, columns=["key", "area", "ratio"])
-
-    keyed = rows.select(id_col, F.col(name).alias("name"), dedupe_key(F.col(name)).alias("key")).filter("key <> ''")
-    hits = keyed.select("key").distinct().mapInPandas(run, "key string, area string, ratio double")
-    return keyed.join(hits, "key").select(id_col, "name", "area", "ratio")
+            for i, t in zip(pdf["id"], pdf["text"]):
+                words = T.keyed(T.normal(t)).split()
+                for name in dict.fromkeys(" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)):
+                    for k in close_area(name, cutoff)[:1]:
+                        out.append((i, name, _KEYS[k][1], round(SequenceMatcher(None, k, name).ratio(), 6)))
+            yield pd.DataFrame(out, columns=["id", "window", "area", "ratio"])
+
+    some = rows.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    return some.mapInPandas(run, "id bigint, window string, area string, ratio double").withColumnRenamed("id", id_col)
 
 
 def seeds(spark: SparkSession) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloka.constants import ALIASES, BUSINESSES, CITIES, TEMPLATES
+from sparkloka.constants import ALIASES, BUSINESSES, CITIES, CITY_POINTS, PROXIMITY, TEMPLATES
+from sparkloka.functions import text as T
 from sparkloka.operators import places
 from sparkloka.operators.places import ALIAS_ORDER, AREAS, BUSINESS_ORDER
 from sparkloka.plans import sql_text as S
@@ -51,19 +52,54 @@ def relevance_topk(s, d):
     return r.orderBy(F.desc("relevance"), F.desc("timestamp"), "row_id").limit(180).select("row_id", "corpus_source", "relevance")
 
 
-_FIT = lambda c: f"(city = '{c}' OR coalesce(city, '') = '' OR city NOT IN ({', '.join(repr(x) for x in CITIES)}))"
-_PROX = "(?:deket|dekat|sekitar|di|daerah|kawasan|area)"
-_NEAR = "CASE " + " ".join(f"WHEN {_FIT(c)} AND regexp_matches(k, ' {_PROX} {a.lower()} ') THEN '{c}|{a}'" for c, a in AREAS) + " END"
-_NAMED = "CASE " + " ".join(f"WHEN {_FIT(c)} AND contains(k, ' {a.lower()} ') THEN '{c}|{a}'" for c, a in AREAS) + " END"
-_RES = f"""WITH k AS (SELECT row_id, city, area_hint, ' ' || {S.key('text')} || ' ' AS k FROM weak_labeled),
-r AS (SELECT row_id, {_NEAR} AS near, {_NAMED} AS named, CASE WHEN city || '|' || area_hint IN ({', '.join(f"'{c}|{a}'" for c, a in AREAS)}) THEN city || '|' || area_hint END AS hinted, CASE WHEN city IN ({', '.join(repr(x) for x in CITIES)}) THEN city || '|' END AS alone FROM k)
-SELECT row_id, split_part(coalesce(near, named, hinted, alone, '|'), '|', 1) AS resolved_city, split_part(coalesce(near, named, hinted, alone, '|'), '|', 2) AS resolved_area,
-CASE WHEN near IS NOT NULL THEN 'text_proximity' WHEN named IS NOT NULL THEN 'text_area' WHEN hinted IS NOT NULL THEN 'hint_area' WHEN alone IS NOT NULL THEN 'hint_city' ELSE 'unresolved' END AS source FROM r"""
+_PROX = "(?:" + "|".join(PROXIMITY) + ")"
+_AREA_ROWS = ", ".join(f"({i}, '{c}', '{a}', '{a.lower()}')" for i, (c, a) in enumerate(AREAS))
+_CITY_ROWS = ", ".join(f"('{c}', {x}, {y})" for c, (x, y) in CITY_POINTS.items())
+_SHIFT = lambda k, i: f"(('0x' || substr(md5({k}), {i}, 4))::BIGINT / 65535.0 - 0.5) * 0.05"
+# the steps of the resolution, from the rule; DuckDB has no gestalt ratio, so misspelled districts are not in it
+_RES = rf"""
+WITH areas AS (SELECT * FROM (VALUES {_AREA_ROWS}) AS v(ord, city, area, key)), towns AS (SELECT * FROM (VALUES {_CITY_ROWS}) AS v(city, lat, lng)),
+poi AS (SELECT doc_id, d.city, trim(area_hint) AS area, {S.key('place_name')} AS key, lower(trim(source)) = 'gmaps_review' AS rev FROM documents d WHERE place_name IS NOT NULL),
+pts AS (SELECT doc_id, p.city, area, key, coalesce(rev, FALSE) AS rev, lat + {_SHIFT('key', 1)} AS lat, lng + {_SHIFT('key', 5)} AS lng FROM poi p JOIN towns t ON trim(p.city) = t.city),
+one AS (SELECT city, key, lat, lng, CASE WHEN rev THEN 'gmaps_place' ELSE 'overpass_poi' END AS src FROM pts WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY city, key ORDER BY rev DESC, CASE WHEN rev THEN -doc_id ELSE doc_id END) = 1),
+uniq AS (SELECT key, min(lat) AS lat, min(lng) AS lng, min(src) AS src FROM one GROUP BY key HAVING count(*) = 1),
+cc AS (SELECT city, avg(lat) AS lat, avg(lng) AS lng FROM pts GROUP BY city), ac AS (SELECT city, area, avg(lat) AS lat, avg(lng) AS lng FROM pts WHERE rev AND area IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT row_id, trim(coalesce(city, '')) AS city, trim(coalesce(area_hint, '')) AS area, {S.key('text')} AS key, list_transform(regexp_extract_all(lower(trim(coalesce(text, ''))), '{_PROX}\s+([a-z]+(?:\s+[a-z]+){{0,2}})', 1), lambda z: {S.key('z')}) AS near FROM weak_labeled),
+n1 AS (SELECT row_id, a.city, a.area, 'text_proximity_pattern' AS src FROM k JOIN areas a ON list_contains(near, a.key) AND (k.city = '' OR a.city = k.city) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY list_position(near, a.key)) = 1),
+n2 AS (SELECT row_id, a.city, a.area, 'text_area_match' AS src FROM k JOIN areas a ON contains(' ' || k.key || ' ', ' ' || a.key || ' ') AND (k.city = '' OR a.city = k.city) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY a.ord) = 1),
+s AS (SELECT k.row_id, k.city, k.area, k.key, coalesce(n1.city, n2.city) AS ncity, coalesce(n1.area, n2.area) AS narea, coalesce(n1.src, n2.src) AS nsrc, one.lat AS plat, one.lng AS plng, one.src AS psrc, towns.city AS tcity, ka.city AS kcity, ka.area AS karea, uniq.lat AS ulat, uniq.lng AS ulng, uniq.src AS usrc
+  FROM k LEFT JOIN n1 USING (row_id) LEFT JOIN n2 USING (row_id) LEFT JOIN one ON one.city = k.city AND one.key = k.key LEFT JOIN towns ON lower(towns.city) = k.key LEFT JOIN areas ka ON ka.key = k.key LEFT JOIN uniq ON uniq.key = k.key),
+r AS (SELECT *, CASE WHEN key = '' THEN 'none' WHEN nsrc IS NOT NULL THEN 'named' WHEN plat IS NOT NULL THEN 'poi' WHEN tcity IS NOT NULL THEN 'town' WHEN karea IS NOT NULL THEN 'area' WHEN ulat IS NOT NULL THEN 'alone' ELSE 'hints' END AS step FROM s),
+x AS (SELECT *, CASE step WHEN 'named' THEN ncity WHEN 'town' THEN tcity WHEN 'area' THEN kcity ELSE city END AS rcity, CASE step WHEN 'named' THEN narea WHEN 'town' THEN '' WHEN 'area' THEN karea ELSE area END AS rarea FROM r)
+SELECT row_id, rcity AS resolved_city, rarea AS resolved_area,
+round(CASE step WHEN 'none' THEN NULL WHEN 'poi' THEN plat WHEN 'alone' THEN ulat ELSE coalesce(CASE WHEN rarea <> '' THEN ac.lat END, cc.lat) END, 6) AS lat, round(CASE step WHEN 'none' THEN NULL WHEN 'poi' THEN plng WHEN 'alone' THEN ulng ELSE coalesce(CASE WHEN rarea <> '' THEN ac.lng END, cc.lng) END, 6) AS lng,
+CASE step WHEN 'named' THEN nsrc WHEN 'poi' THEN psrc WHEN 'town' THEN 'city_catalog' WHEN 'area' THEN 'area_catalog' WHEN 'alone' THEN usrc WHEN 'hints' THEN (CASE WHEN rarea <> '' AND ac.lat IS NOT NULL THEN 'area_centroid' WHEN cc.lat IS NOT NULL THEN 'city_centroid' ELSE 'unresolved' END) ELSE 'unresolved' END AS source
+FROM x LEFT JOIN ac ON ac.city = rcity AND ac.area = rarea LEFT JOIN cc ON cc.city = rcity
+"""
+
+
+def poi(s, d):
+    """Places of the documents. The tables have no coordinates: a place lies by its city's point, shifted by its key's
+    hash; reviews stand for the one kind of place record, all other documents for the other."""
+    towns = s.createDataFrame([(c, x, y) for c, (x, y) in CITY_POINTS.items()], "town string, town_lat double, town_lng double")
+    t = table(s, d, "documents").filter("place_name IS NOT NULL").select(F.col("doc_id").alias("ord"), "city", F.col("area_hint").alias("area"), F.col("place_name").alias("name"), T.dedupe_key(F.col("place_name")).alias("key"), F.coalesce(F.lower(F.trim("source")) == "gmaps_review", F.lit(False)).alias("rev"))
+    t = t.join(F.broadcast(towns), F.trim("city") == F.col("town"))
+    return t.select("ord", "city", "area", "name", (F.col("town_lat") + T.jitter(F.col("key"), 1)).alias("lat"), (F.col("town_lng") + T.jitter(F.col("key"), 5)).alias("lng"), F.when(F.col("rev"), "gmaps_place").otherwise("overpass_poi").alias("source"))
 
 
 @query("resolve_chain", _RES)
 def resolve_chain(s, d):
-    return places.resolve(table(s, d, "weak_labeled").select("row_id", "text", "city", "area_hint"), "text", "city", "area_hint").select("row_id", "resolved_city", "resolved_area", "source")
+    out = places.resolve(table(s, d, "weak_labeled").select("row_id", "text", "city", "area_hint"), "text", "city", "area_hint", poi(s, d))
+    return out.select("row_id", "resolved_city", "resolved_area", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "source")
+
+
+@query("resolve_entities", _RES.replace("n1 AS (SELECT", "n1 AS (SELECT * FROM (SELECT", 1).replace("ORDER BY list_position(near, a.key)) = 1)", "ORDER BY list_position(near, a.key)) = 1) WHERE FALSE)", 1).replace("n2 AS (SELECT", "n2 AS (SELECT * FROM (SELECT", 1).replace("ORDER BY a.ord) = 1)", "ORDER BY a.ord) = 1) WHERE FALSE)", 1).replace("FROM weak_labeled)", "FROM (SELECT doc_id AS row_id, CASE WHEN doc_id % 2 = 0 THEN city ELSE NULL END AS city, area_hint, CASE WHEN doc_id % 5 = 1 THEN area_hint WHEN doc_id % 5 = 2 THEN city ELSE place_name END AS text FROM documents))", 1))
+def resolve_entities(s, d):
+    """Names of places, districts and cities as entities, every other one without its city: all steps of the chain."""
+    i = F.col("doc_id")
+    t = table(s, d, "documents").select(i.alias("row_id"), F.when(i % 2 == 0, F.col("city")).alias("city"), "area_hint", F.when(i % 5 == 1, F.col("area_hint")).when(i % 5 == 2, F.col("city")).otherwise(F.col("place_name")).alias("text"))
+    out = places.resolve(t, "text", "city", "area_hint", poi(s, d), entity=True)
+    return out.select("row_id", "resolved_city", "resolved_area", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "source")
 
 
 _TERMS = [(a.lower(), "LOC") for _, a in AREAS] + [(b, "ORG") for b in BUSINESSES]
@@ -83,8 +119,8 @@ def gazetteer_spans(s, d):
 
 @query("fuzzy_area")
 def fuzzy_area(s, d):
-    """No SQL twin: SQL has no gestalt ratio. Tested against the standard library's."""
-    return places.fuzzy_area(table(s, d, "social_bootstrap").select("row_id", "area_hint"), "row_id", "area_hint")
+    """Misspelled districts in texts. No SQL twin: SQL has no gestalt ratio. Tested against the standard library's."""
+    return places.fuzzy_area(table(s, d, "social_bootstrap").select("row_id", "text"), "row_id", "text")
 
 
 @query("edit_area", "SELECT DISTINCT area_hint, levenshtein(lower(area_hint), 'lowokwaru')::BIGINT AS distance FROM social_bootstrap WHERE area_hint IS NOT NULL")

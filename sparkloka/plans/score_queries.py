@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloka.constants import BRANDS, CITIES
+from sparkloka.constants import ADVICE, BRANDS, CITIES, CITY_POINTS, SIGNAL_NAMES, STATUS_NAMES
 from sparkloka.functions.text import jitter
 from sparkloka.operators import scoring
 from sparkloka.plans.registry import query
@@ -71,32 +71,33 @@ def area_sample(s, d):
     return t.groupBy("city", "area_hint").agg(F.min_by("row_id", F.struct(-F.col("confidence"), F.col("row_id"))).alias("row_id"))
 
 
-_STATUS = {"Strong Opportunity": "peluang kuat", "Moderate Opportunity": "peluang sedang", "Saturated / Risky": "jenuh / berisiko"}
+def _case(col: str, values: dict[str, str], other: str | None = None) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in values.items()) + f" ELSE {other or col} END"
 
 
-def _case(col: str, values: dict[str, str]) -> str:
-    return f"CASE {col} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in values.items()) + f" ELSE {col} END"
+_HUND = lambda c: f"(((round({c} * 1000)::BIGINT + 5) // 10) // 100)::VARCHAR || '.' || lpad((((round({c} * 1000)::BIGINT + 5) // 10) % 100)::VARCHAR, 2, '0')"
+_DOM = f"SELECT {_G}, final_signal AS dom, n FROM (SELECT {_G}, final_signal, count(*) AS n FROM signal_train WHERE {_NN} AND final_signal IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_G} ORDER BY n DESC, final_signal) = 1"
+_STORY = f"""
+WITH r AS (SELECT s.*, coalesce(dom, 'NEUTRAL') AS dom, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY s.city, s.business_hint ORDER BY opportunity_score DESC, s.area_hint) AS k FROM ({_SCORE}) s LEFT JOIN ({_DOM}) d ON s.city = d.city AND s.area_hint = d.area_hint AND s.business_hint = d.business_hint),
+t AS (SELECT city, business_hint, k, total_signals, area_hint || ' - skor ' || {_HUND('opportunity_score')} || ' - ' || {_case('label', STATUS_NAMES)} || chr(10) || '  Total sinyal: ' || total_signals || '. Dominan: ' || {_case('dom', SIGNAL_NAMES)} || ' (' || n || '.0).' || chr(10) || '  Rekomendasi: ' || replace({_case('dom', ADVICE)}, '{{business}}', business_hint) || CASE WHEN franchise_ratio > 0 THEN chr(10) || '  Rasio waralaba terpantau: ' || {_HUND('franchise_ratio')} || '.' ELSE '' END AS line FROM r WHERE k <= 5)
+SELECT city, business_hint, '=== Analisis Peluang Bisnis: ' || business_hint || ' di ' || city || ' ===' || chr(10) || 'Data dianalisis secara offline (airgap) dari ' || sum(total_signals)::BIGINT || ' sinyal pada ' || count(*) || ' kecamatan.' || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY k) AS story, sum(total_signals)::BIGINT AS signals, count(*) AS areas FROM t GROUP BY 1, 2
+"""
 
 
-@query("explain_text", f"SELECT business_hint, city, string_agg(line, chr(10) ORDER BY opportunity_score DESC, area_hint) AS story, sum(total_signals)::BIGINT AS signals FROM (SELECT *, area_hint || ' - skor ' || printf('%.3f', opportunity_score) || ' - ' || {_case('label', _STATUS)} AS line, row_number() OVER (PARTITION BY city, business_hint ORDER BY opportunity_score DESC, area_hint) AS k FROM ({_SCORE})) WHERE k <= 5 GROUP BY 1, 2")
+@query("explain_text", _STORY)
 def explain_text(s, d):
-    """For each business and city a line for each of its five best districts."""
-    from sparkloka.operators.rows import top_per
+    """For each business and city what is told of its five best districts: rating, main signal, advice, chains."""
+    return scoring.stories(opportunity_score(s, d), signal_breakdown(s, d))
+
 
-    status = F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv])
-    o = opportunity_score(s, d).withColumn("key", F.concat_ws("\u0001", "city", "business_hint"))
-    top = top_per(o, "key", [F.desc("opportunity_score"), F.col("area_hint")], 5)
-    line = F.format_string("%s - skor %.3f - %s", "area_hint", "opportunity_score", F.coalesce(status[F.col("label")], F.col("label")))
-    return top.groupBy("business_hint", "city").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_in_group", line.alias("line")))), lambda x: x["line"]), "\n").alias("story"), F.sum("total_signals").alias("signals"))
+_ESC = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query("popup_html", f"SELECT {_G}, '<b>' || area_hint || '</b><br>' || business_hint || ': ' || printf('%.3f', opportunity_score) || '<br><i>' || label || '</i>' AS popup FROM ({_SCORE})")
+@query("popup_html", f"SELECT {_G}, '<b>' || {_ESC('area_hint')} || '</b><br>' || {_ESC('business_hint')} || '<br>Skor: ' || printf('%.3f', opportunity_score) || '<br>Status: ' || {_case('label', STATUS_NAMES)} || '<br>Sinyal: ' || total_signals || '<br>Rasio waralaba: ' || printf('%.3f', franchise_ratio) AS popup FROM ({_SCORE})")
 def popup_html(s, d):
-    return opportunity_score(s, d).select("city", "area_hint", "business_hint", F.format_string("<b>%s</b><br>%s: %.3f<br><i>%s</i>", "area_hint", "business_hint", "opportunity_score", "label").alias("popup"))
+    return opportunity_score(s, d).select("city", "area_hint", "business_hint", scoring.popup().alias("popup"))
 
 
-# Coordinates that a city falls back to.
-CITY_POINTS = {"Malang": (-7.9666, 112.6326), "Surabaya": (-7.2575, 112.7521), "Yogyakarta": (-7.7956, 110.3695), "Bandung": (-6.9175, 107.6191), "Semarang": (-6.9667, 110.4167)}
 _PTS = ", ".join(f"('{c}', {a}, {b})" for c, (a, b) in CITY_POINTS.items())
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def strings(columns: Sequence[str]) -> T.StructType:
@@ -23,12 +24,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
-    """Quoted, multi-line CSV, every cell a string; the file's path as ``corpus_source``. Globs are fine."""
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, multi_line: bool = True) -> DataFrame:
+    """Quoted CSV, every cell a string; the file's path as ``corpus_source``. Globs are fine.
+
+    With ``multi_line`` cells may hold line breaks and every file is one task; without it files are split."""
     schema = strings(columns)
     if not _exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("corpus_source", F.lit(""))
-    df = spark.read.schema(schema).option("header", header).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    df = spark.read.schema(schema).option("header", header).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
     return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns], F.col("_metadata.file_path").alias("corpus_source"))
 
 
@@ -58,14 +61,29 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def write_document(spark: SparkSession, path: str, text: str) -> None:
+    """One small document (JSON, HTML) as one file of any file system that the session knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def read_tagged(spark: SparkSession, path: str, least: int = 2, tag_at: int = -1, sep: str = "\t") -> DataFrame:
     """(file, sent_no, tokens, tags) of blank-line-parted sentences with a token and its tags a line.
 
-    Lines of fewer than ``least`` fields are left out; ``tag_at`` counts from 1, or from the end if negative."""
-    blocks = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\n[ \t\r]*\n\s*")).alias("sent_no", "block"))
-    fields = F.filter(F.transform(F.split("block", r"\r?\n"), lambda x: F.split(x, sep)), lambda f: (F.size(f) >= least) & (F.trim(f[0]) != "") & (f[0] != "-DOCSTART-"))
-    out = blocks.select("file", F.col("sent_no").cast("bigint").alias("sent_no"), fields.alias("f"))
-    return out.select("file", "sent_no", F.transform("f", lambda f: F.trim(f[0])).alias("tokens"), F.transform("f", lambda f: F.trim(F.try_element_at(f, F.lit(tag_at)))).alias("tags")).filter(F.size("tokens") > 0)
+    Records are cut at the blank lines by the reader itself, so large files are split; ``sent_no`` numbers a file's
+    sentences by their place in it. Lines of fewer than ``least`` fields are left out; ``tag_at`` counts from 1, or from
+    the end if negative."""
+    lines = spark.read.option("lineSep", "\n\n").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"), F.posexplode(F.split(F.regexp_replace("value", r"\r", ""), r"\n[ \t]*\n\s*")).alias("__k", "block"))
+    fields = F.filter(F.transform(F.split("block", r"\n"), lambda x: F.split(x, sep)), lambda f: (F.size(f) >= least) & (F.trim(f[0]) != "") & (f[0] != "-DOCSTART-"))
+    out = lines.select("file", "__b", "__i", "__k", fields.alias("f")).select("file", "__b", "__i", "__k", F.transform("f", lambda f: F.trim(f[0])).alias("tokens"), F.transform("f", lambda f: F.trim(F.try_element_at(f, F.lit(tag_at)))).alias("tags")).filter(F.size("tokens") > 0)
+    # sentences before each piece of a file are added up over its few pieces, so no file is numbered by one task
+    before = out.groupBy("file", "__b").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.sum("n").over(Window.partitionBy("file").orderBy("__b")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("file", "__b").orderBy("__i", "__k")) - 1
+    return out.withColumn("__p", place).join(F.broadcast(before), ["file", "__b"]).select("file", (F.col("__before") + F.col("__p")).cast("bigint").alias("sent_no"), "tokens", "tags")
 
 
 def flatten_elements(df: DataFrame, json: str) -> DataFrame:

@@ -96,10 +96,46 @@ def test_intent(spark):
     assert got == [("Malang", 5, "kedai kopi", False), ("Malang", 1, "laundry", False), ("Malang", 5, "kuliner", True), ("Malang", 5, "kuliner", True)]
 
 
+POI = [(1, "Malang", "Klojen", "Warung Ayu", 1.0, 2.0, "gmaps_place"), (2, "Malang", "Klojen", "warung  ayu!", 3.0, 4.0, "gmaps_place"), (3, "Malang", None, "Warung Ayu", 9.0, 9.0, "overpass_poi"), (4, "Bandung", "Coblong", "Warung Ayu", 5.0, 6.0, "overpass_poi"), (5, "Bandung", "Coblong", "Kopi Tua", 7.0, 8.0, "overpass_poi"), (6, "Bandung", None, "!!!", 7.0, None, "overpass_poi")]
+POI_COLS = "ord long, city string, area string, name string, lat double, lng double, source string"
+
+
 def test_resolution(spark):
-    df = spark.createDataFrame([("butuh tempat nongkrong deket lowokwaru", None, None), ("laundry di gubeng lagi rame", "", None), ("apa saja", "Malang", "Klojen"), ("x", "Malang", None), (None, None, None), ("gubeng", "Malang", "Sukun")], "text string, city string, area string")
-    got = [(r["resolved_city"], r["resolved_area"], r["source"]) for r in places.resolve(df, "text", "city", "area").collect()]
-    assert got == [("Malang", "Lowokwaru", "text_proximity"), ("Surabaya", "Gubeng", "text_proximity"), ("Malang", "Klojen", "hint_area"), ("Malang", "", "hint_city"), ("", "", "unresolved"), ("Malang", "Sukun", "hint_area")]
+    cases = [
+        ("butuh tempat nongkrong deket lowokwaru", None, None, ("Malang", "Lowokwaru", "text_proximity_pattern")),
+        ("laundry di gubeng lagi rame", "", None, ("Surabaya", "Gubeng", "text_area_match")),  # three words follow "di"
+        ("laundry di lowokwarru", "", None, ("Malang", "Lowokwaru", "text_fuzzy_match")),
+        ("gubeng", "Malang", "Sukun", ("Surabaya", "Gubeng", "area_catalog")),  # not in the city, but a district
+        ("Malang!", "Bandung", None, ("Malang", "", "city_catalog")), ("Warung Ayu", "Malang", "Sukun", ("Malang", "Sukun", "gmaps_place")), ("kopi tua", None, None, ("", "", "overpass_poi")),
+        ("warung ayu", None, None, ("", "", "unresolved")),  # two cities have it
+        ("apa saja", "Malang", "Klojen", ("Malang", "Klojen", "area_centroid")), ("apa saja", "Bandung", "Coblong", ("Bandung", "Coblong", "city_centroid")), ("x", "Malang", None, ("Malang", "", "city_centroid")),
+        (None, "Malang", "Klojen", ("Malang", "Klojen", "unresolved")), (None, None, None, ("", "", "unresolved")), ("apa", "Jakarta", None, ("Jakarta", "", "unresolved")),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, text string, city string, lat string")
+    out = places.resolve(df.withColumnRenamed("lat", "area"), "text", "city", "area", spark.createDataFrame(POI, POI_COLS)).orderBy("i").collect()
+    assert [(r["resolved_city"], r["resolved_area"], r["source"]) for r in out] == [c[3] for c in cases]
+    assert [(r["lat"], r["lng"]) for r in out[5:11]] == [(3.0, 4.0), (7.0, 8.0), (None, None), (2.0, 3.0), (19 / 3, 7.0), (13 / 3, 5.0)]
+    assert places.resolve(df.limit(0), "text", "city", "lat").count() == 0
+
+
+def test_close_districts_are_those_of_the_standard_library():
+    from difflib import get_close_matches
+
+    names = ["lowokwarru", "klojn", "gubeng", "bandung wtan", "semarang tenga", "candisary", "zzz", "sukunn", "wonokrmo", "kota gede", "", "gajah mungkur"]
+    for n in names:
+        for cut in (0.88, 0.9):
+            assert places.close_area(n, cut)[:1] == get_close_matches(n, list(places._KEYS), n=1, cutoff=cut)
+
+
+def test_choice_of_districts(spark):
+    rows = spark.createDataFrame([(1, "apa saja", "Klojen"), (2, "enak di lowokwaru", "Gubeng"), (3, "apa saja", None), (4, "di gubeng", None), (5, "x", "Klojen")], "row_id long, text string, area_hint string")
+    poi = spark.createDataFrame(POI, POI_COLS)
+    at = lambda out: {r["row_id"]: (r["resolved_area"], r["source"], r["lat"]) for r in out.collect()}
+    assert at(places.choose(rows, "Malang", ["Klojen", "Lowokwaru"], poi)) == {1: ("Klojen", "seed_area_hint", 2.0), 2: ("Lowokwaru", "text_proximity_pattern", 13 / 3), 5: ("Klojen", "seed_area_hint", 2.0)}
+    named = spark.createDataFrame([(5, 0, "Gubeng"), (5, 1, "Lowokwaru"), (3, 0, "zzz")], "row_id long, pos int, entity string")
+    assert at(places.choose(rows, "Malang", ["Klojen", "Lowokwaru"], poi, named))[5] == ("Lowokwaru", "area_catalog", 13 / 3)
+    one = at(places.choose(rows, "Malang", ["Klojen"], poi))
+    assert one[3] == ("Klojen", "query_scope_fallback", 2.0) and one[1][1] == "seed_area_hint" and 2 not in one
 
 
 def test_gazetteer_places(spark):
@@ -109,9 +145,9 @@ def test_gazetteer_places(spark):
 
 
 def test_fuzzy(spark):
-    df = spark.createDataFrame([(1, "Lowokwarru"), (2, "Gubeng"), (3, "zzz"), (4, None)], "id long, name string")
-    got = {r["id"]: (r["area"], r["ratio"]) for r in places.fuzzy_area(df, "id", "name").collect()}
-    assert got == {1: ("Lowokwaru", round(SequenceMatcher(None, "lowokwaru", "lowokwarru").ratio(), 6)), 2: ("Gubeng", 1.0)}
+    df = spark.createDataFrame([(1, "enak di Lowokwarru nih"), (2, "Gubeng"), (3, "zzz"), (4, None)], "id long, name string")
+    got = {(r["id"], r["window"]): (r["area"], r["ratio"]) for r in places.fuzzy_area(df, "id", "name").collect()}
+    assert got == {(1, "lowokwarru"): ("Lowokwaru", round(SequenceMatcher(None, "lowokwaru", "lowokwarru").ratio(), 6)), (2, "gubeng"): ("Gubeng", 1.0)}
 
 
 def test_bio(spark):
