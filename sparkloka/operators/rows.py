@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloka.runtime import release, stage
+
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order, by aggregation: map-side combined, so a hot key costs no task more."""
@@ -21,6 +23,30 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return picked.select(*keys, "__r.*")
 
 
+def fold_two_keys(df: DataFrame, order: str, first: str, second: str) -> DataFrame:
+    """The rows that remain if rows are read in order and one is dropped when a row that was kept before it has its
+    ``first`` or its ``second`` key (null or '' is no key). ``order`` is unique.
+
+    In rounds: a row that comes first under each of its keys is kept, whatever shares a key with a kept row is dropped,
+    and the rest is looked at again; the result is that of the one pass in order. A round decides all but the rows that
+    wait for an undecided one before them."""
+    key = lambda c: F.when(F.col(c) != "", F.col(c))
+    left = stage(df.select(order, key(first).alias("__a"), key(second).alias("__b")), "fold")
+    kept = None
+    while left.limit(1).count():
+        tops = left
+        for k in ("__a", "__b"):
+            tops = tops.join(left.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"__m{k}")), k, "left")
+        now = stage(tops.filter((F.col("__a").isNull() | (F.col("__m__a") == F.col(order))) & (F.col("__b").isNull() | (F.col("__m__b") == F.col(order)))).select(order, "__a", "__b"), "fold-kept")
+        kept = now if kept is None else kept.unionByName(now)
+        rest = left.join(now.select(order), order, "left_anti")
+        for k in ("__a", "__b"):
+            rest = rest.join(now.select(k).filter(F.col(k).isNotNull()), k, "left_anti")
+        done, left = left, stage(rest.select(order, "__a", "__b"), "fold")
+        release(done)
+    return df.join(kept.select(order), order, "left_semi") if kept is not None else df
+
+
 def top_per(df: DataFrame, key: str, order: Sequence[Column], most: int | Column) -> DataFrame:
     """The first rows of each group; the planner cuts every partition to the limit before it shuffles."""
     return df.withColumn("rank_in_group", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank_in_group") <= most)

@@ -68,13 +68,20 @@ def dup_clusters(s, d):
     return k.groupBy(F.md5("key").alias("key_digest")).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row")).filter("n > 1")
 
 
-@query("two_key_dedupe", f"WITH k AS (SELECT row_id, coalesce(url, '') AS url, {S.key('text')} AS key FROM social_bootstrap), f AS (SELECT row_id, key, url FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_id) = 1) SELECT row_id FROM f WHERE url = '' UNION ALL SELECT min(row_id) AS row_id FROM f WHERE url <> '' GROUP BY url")
+_FOLD = f"""
+WITH RECURSIVE k AS (SELECT row_id, hash(url) AS u, coalesce(url, '') = '' AS no_url, hash(key) AS t, row_number() OVER (ORDER BY row_id) AS i FROM (SELECT row_id, url, {S.key('text')} AS key FROM social_bootstrap) WHERE key <> ''),
+f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS row_id, []::UBIGINT[] AS ts, []::UBIGINT[] AS us
+  UNION ALL SELECT k.i, CASE WHEN keep THEN k.row_id END, CASE WHEN keep THEN list_append(ts, k.t) ELSE ts END, CASE WHEN keep AND NOT no_url THEN list_append(us, k.u) ELSE us END
+  FROM (SELECT f.i AS at, ts, us, k.*, NOT (list_contains(ts, k.t) OR (NOT no_url AND list_contains(us, k.u))) AS keep FROM f JOIN k ON k.i = f.i + 1) k)
+SELECT row_id FROM f WHERE row_id IS NOT NULL
+"""
+
+
+@query("two_key_dedupe", _FOLD)
 def two_key_dedupe(s, d):
-    """Rows that are first by text key and then first by address among those: two ordered passes, which differ from
-    one sequential fold only where a row dropped by its text was the first of an address."""
-    k = table(s, d, "social_bootstrap").select("row_id", F.coalesce("url", F.lit("")).alias("url"), F.md5(T.dedupe_key(F.col("text"))).alias("key"), (T.dedupe_key(F.col("text")) != "").alias("some")).filter("some").drop("some")
-    first = rows.keep_one(k, ["key"], [F.col("row_id")])
-    return first.filter("url = ''").select("row_id").unionByName(first.filter("url <> ''").groupBy("url").agg(F.min("row_id").alias("row_id")).select("row_id"))
+    """Rows in order, one dropped if a kept row before it has its text key or its address: the sequential rule."""
+    k = table(s, d, "social_bootstrap").select("row_id", "url", T.dedupe_key(F.col("text")).alias("key")).filter("key <> ''").withColumn("key", F.md5("key"))
+    return rows.fold_two_keys(k, "row_id", "key", "url").select("row_id")
 
 
 @query("net_new", "SELECT row_id FROM signal_train t WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM weak_labeled w WHERE w.text = t.text)")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloka.constants import COMPLAINT_PATTERNS, COMPLAINTS, LABELS, PRAISE, PRIORITY, RULES, SELF_TRAINING
+from sparkloka.constants import COMPLAINT_PATTERNS, COMPLAINT_TOPICS, COMPLAINTS, LABELS, OTHER_TOPICS, POOL_PRIORITY, PRAISE, PRIORITY, RELEVANT_WORDS, RULES, SELF_TRAINING
 from sparkloka.functions import text as T
-from sparkloka.operators import evaluation, rules
+from sparkloka.operators import evaluation, pool, rules
 from sparkloka.operators.rows import top_per
 from sparkloka.plans import sql_text as S
 from sparkloka.plans.registry import query
@@ -120,6 +120,50 @@ def class_weights(s, d):
     return evaluation.class_weights(table(s, d, "signal_train"), "final_signal")
 
 
+_REL = " + ".join(f"(CASE WHEN contains(n, '{w}') THEN {k} ELSE 0 END)" for words, k in ((pool.MARKET, 2), (pool.PLACES, 1), (RELEVANT_WORDS, 1)) for w in words)
+_PRIO = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POOL_PRIORITY.items()) + " ELSE 0 END"
+_POOL = f"""
+WITH k AS (SELECT row_id, coalesce(source, '') AS source, {S.normal('text')} AS n FROM weak_labeled WHERE coalesce(confidence, 0) < 0.95 OR coalesce(signal, '') IN ('NEUTRAL', 'COMPLAINT', 'COMPETITION_HIGH')),
+c AS (SELECT *, {S.squeeze(S.rep('n', r'[^a-z0-9_\s]', ' '))} AS key FROM k),
+o AS (SELECT row_id, source, n, ({_REL})::BIGINT AS relevance FROM c WHERE key <> '' AND key NOT IN (SELECT {S.key('text')} FROM signal_train) QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_id) = 1)
+SELECT row_id, source, relevance, CASE WHEN length(n) <= 420 THEN n WHEN contains(substr(n, 1, 420), ' ') THEN trim(regexp_replace(substr(n, 1, 420), ' [^ ]*$', '')) ELSE substr(n, 1, 420) END AS prompt FROM o ORDER BY {_PRIO} DESC, relevance DESC, sha256(n), row_id LIMIT 800
+"""
+
+
+@query("pool_mining", _POOL)
+def pool_mining(s, d):
+    """The 800 texts that a labelling model would be asked first, of those not in the curated set: a budget."""
+    w = table(s, d, "weak_labeled").select("row_id", "text", "source", "confidence", F.col("signal").alias("label"))
+    return pool.candidates(w, "augment", 800, table(s, d, "signal_train").select("text"))
+
+
+@query("pool_modes", "SELECT mode, count(*) AS n FROM (SELECT unnest(['refine', 'label_all', CASE WHEN coalesce(confidence, 0) < 0.8 OR signal = 'NEUTRAL' THEN 'low_confidence' END, CASE WHEN coalesce(confidence, 0) < 0.95 OR signal IN ('NEUTRAL', 'COMPLAINT', 'COMPETITION_HIGH') THEN 'augment' END]) AS mode FROM weak_labeled) WHERE mode IS NOT NULL GROUP BY 1")
+def pool_modes(s, d):
+    """How many rows each mode of selection looks at."""
+    modes = [F.when(pool.selected(m, F.col("confidence"), F.col("signal")), m) for m in ("refine", "label_all", "low_confidence", "augment")]
+    return table(s, d, "weak_labeled").select(F.explode(F.array_compact(F.array(*modes))).alias("mode")).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LANG = S.scores("n")
+_LOOSE = "n_tokens >= 3 AND ((n_id + n_slang >= 3 AND n_id + n_slang >= n_en) OR (n_id + n_slang >= 2 AND n_en <= n_id + n_slang + 1) OR (n_id + n_slang >= 1 AND n_slang >= 1 AND n_en <= 2))"
+
+
+@query("negative_corpus", f"SELECT row_id, n AS text FROM (SELECT row_id, n, {', '.join(f'{v} AS n_{k}' for k, v in _LANG.items())} FROM (SELECT row_id, {S.normal('text')} AS n FROM weak_labeled WHERE signal = 'COMPLAINT' AND length(trim(text)) > 15)) WHERE {_LOOSE} AND NOT regexp_matches(n, '{'|'.join(OTHER_TOPICS)}') AND regexp_matches(n, '{'|'.join(COMPLAINT_TOPICS)}')")
+def negative_corpus(s, d):
+    """Negative texts that speak of food and service."""
+    return pool.complaints(table(s, d, "weak_labeled"), "signal", ["complaint"])
+
+
+@query("hint_quota")
+def hint_quota(s, d):
+    """Candidates for self-training by hint label, the best of each up to its quota. No SQL twin: tested by hand-made
+    candidates."""
+    from sparkloka.operators import learning
+
+    known = table(s, d, "signal_train").select("text").unionByName(table(s, d, "signal_val").select("text")).unionByName(table(s, d, "signal_test").select("text"))
+    return learning.hinted(table(s, d, "weak_labeled"), known).select("row_id", F.col("pos").cast("long").alias("pos"), "text", "hint", "score")
+
+
 @query("lr_classifier")
 def lr_classifier(s, d):
     """Predictions of a logistic regression on hashed words for signal_test: no SQL twin, held-out accuracy is tested."""

@@ -7,8 +7,9 @@ watermark has passed it. Late rows beyond the watermark are dropped in append mo
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloka.runtime import shared_dir
@@ -21,21 +22,42 @@ def read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming frame over all that is available and returns its rows from a table in the shared folder.
+class Collected(NamedTuple):
+    """What a stream has brought so far: its rows, the rows set aside, and whether all input was read in time."""
+
+    rows: DataFrame
+    rejected: DataFrame
+    finished: bool
+
+
+def collect(df: DataFrame, mode: str, name: str | None = None, valid: Column | None = None, seconds: float | None = None) -> Collected:
+    """Runs a streaming frame over all that is available, or for so many ``seconds``.
 
-    Complete mode keeps the last batch; append mode adds up; a checkpoint makes both restartable."""
+    Under a ``name`` the progress lies at a fixed place in the shared folder: the next run of that name goes on where the
+    last one ended or broke off. Each batch has a folder of its own that is written whole, so a batch that is run again
+    replaces its rows. Rows for which ``valid`` isn't true are set aside. Complete mode keeps the last batch alone."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/sparkloka/stream-{uuid.uuid4().hex}"
-    empty = spark.createDataFrame([], df.schema)
+    at = f"{shared_dir(spark)}/sparkloka/streams/{name or uuid.uuid4().hex}"
 
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/rows")
+    def sink(batch: DataFrame, number: int) -> None:
+        good = batch if valid is None else batch.filter(F.coalesce(valid, F.lit(False)))
+        good.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
+        if valid is not None:
+            batch.filter(~F.coalesce(valid, F.lit(False))).write.mode("overwrite").parquet(f"{at}/rejected/batch={number}")
 
-    empty.write.parquet(f"{at}/rows")
+    for part in ("rows", "rejected"):  # so that both can be read before any batch
+        spark.createDataFrame([], df.schema).write.mode("ignore").parquet(f"{at}/{part}/batch=-1")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(sink).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/rows")
+    finished = q.awaitTermination(seconds) if seconds is not None else (q.awaitTermination(), True)[1]
+    if not finished:
+        q.stop()
+    back = lambda part: spark.read.schema(df.schema).parquet(f"{at}/{part}/batch=*")
+    return Collected(back("rows"), back("rejected"), bool(finished))
+
+
+def run(df: DataFrame, mode: str) -> DataFrame:
+    """The rows of ``collect`` over all that is available, as a run of its own."""
+    return collect(df, mode).rows
 
 
 def tumbling(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -50,10 +72,12 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 days") -> D
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dedupe(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key over the whole stream: the state holds every key. With a watermark column among the
-    keys or dropDuplicatesWithinWatermark the state would be bounded."""
-    return events.dropDuplicates(keys).select(*keys)
+def dedupe(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """The first row of each key: over the whole stream, whose state holds every key; or with ``late`` among rows that lie
+    so close in event time, whose state is bounded."""
+    if late is None:
+        return events.dropDuplicates(keys).select(*keys)
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys, "ts")
 
 
 def decayed(events: DataFrame, as_of: str, half_life_days: float = 30.0) -> DataFrame:

@@ -297,3 +297,53 @@ def test_model_replies(spark):
 def test_append_mode_withholds_the_open_window(spark, tiny):
     done = E.run(E.tumbling(E.read(spark, tiny)).select("window.start", "event_type", "n"), "append")
     assert 0 < done.count() < spark.read.parquet(f"{tiny}/events.parquet").select(F.to_date("ts"), "event_type").distinct().count()
+
+
+def test_two_keys_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(i, rng.choice(["", None, *"abcdefghij"]), rng.choice(["", None, *"uvwxyz"])) for i in range(120)] + [(200 + i, f"k{(i + 1) // 2}", f"l{i // 2}") for i in range(12)]
+    a, b, want = set(), set(), []
+    for i, x, y in data:
+        if not ((x and x in a) or (y and y in b)):
+            want.append(i)
+            a |= {x} if x else set()
+            b |= {y} if y else set()
+    df = spark.createDataFrame(data, "i long, x string, y string")
+    assert sorted(r["i"] for r in rows.fold_two_keys(df, "i", "x", "y").collect()) == want
+    assert rows.fold_two_keys(df.limit(0), "i", "x", "y").count() == 0
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    import glob
+    import os
+    import uuid
+
+    name, src = f"test-{uuid.uuid4().hex}", f"{tmp_path}/in"
+    stream = lambda: spark.readStream.schema("id long, v string").json(src)
+    add = lambda lo, hi: spark.range(lo, hi).select("id", F.when(F.col("id") % 5 > 0, "x").alias("v")).coalesce(1).write.mode("append").json(src)
+    add(0, 10)
+    one = E.collect(stream(), "append", name, F.col("v").isNotNull())
+    assert one.finished and one.rows.count() == 8 and one.rejected.count() == 2
+    add(10, 20)
+    two = E.collect(stream(), "append", name, F.col("v").isNotNull(), seconds=120)
+    assert sorted(r["id"] for r in two.rows.collect()) == [i for i in range(20) if i % 5] and two.rejected.count() == 4
+    from sparkloka.runtime import shared_dir
+
+    state = f"{shared_dir(spark).removeprefix('file://')}/sparkloka/streams/{name}/state/commits"
+    last = max((f for f in os.listdir(state) if f.isdigit()), key=int)
+    for f in glob.glob(f"{state}/*{last}*") + glob.glob(f"{state}/.{last}*"):
+        os.remove(f)  # as if the run had broken off before it was told done
+    assert E.collect(stream(), "append", name, F.col("v").isNotNull()).rows.count() == 16
+
+
+def test_streamed_dedupe_with_bounded_state(spark, tiny):
+    out = E.run(E.dedupe(E.read(spark, tiny), ["user_id", "event_type"], "2 days"), "append")
+    assert out.count() > 0 and out.columns == ["user_id", "event_type", "ts"]
+
+
+def test_prompts_end_at_words(spark):
+    from sparkloka.operators import pool
+
+    assert one(spark, lambda c: pool.prompt(c, 10), "abc defgh ijk", "abcdefghijklm", " ab ", None, "abcdefghij k") == ["abc defgh", "abcdefghij", "ab", None, "abcdefghij"]
