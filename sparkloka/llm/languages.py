@@ -36,6 +36,7 @@ LANGUAGES = ["id", "en", "jv", "su", "nl", "de", "zh", "ja", "ar", "th", "ru"]
 FIT_ROWS, FIT_CHARS = 400, 20_000
 #: Slots of the filters and hashes of an n-gram.
 SLOTS, HASHES = 1 << 19, 3
+_SLOT = SLOTS - 1
 #: Share of a language's fitted documents that must have an n-gram, and least ratio to the language that has it most.
 LEAST_SHARE, LEAST_RATIO = 0.01, 0.2
 #: Evidence that a change of language within a text must bring.
@@ -73,7 +74,9 @@ _LATIN_RUN = regex.compile(r"(?:[\"“(]?\b\p{Latin}[\p{Latin}\p{M}'’.-]*[\s,;
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(_SKIP.sub(" ", text).lower())
+    if "@" in text or "#" in text or "www." in text or "://" in text or ".example" in text:
+        text = _SKIP.sub(" ", text)
+    return _WORD.findall(text.lower())
 
 
 def by_script(text: str) -> int:
@@ -103,9 +106,8 @@ class Filters:
 
     @staticmethod
     def places(gram: str) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(gram)
-        a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
-        return [(a + i * b) % SLOTS for i in range(HASHES)]
+        h = xxhash.xxh3_64_intdigest(gram)  # three slots of 19 bits each
+        return [h & _SLOT, h >> 19 & _SLOT, h >> 38 & _SLOT]
 
     def add(self, gram: str, lang: int) -> None:
         for p in self.places(gram):
@@ -169,10 +171,15 @@ class Detector:
         """Corrected, weighted popcount of a word's n-grams for each language."""
         hit = self.seen.get(word)
         if hit is None:
-            gs, slots, masks = grams(word), self.slots, []
+            gs, slots, masks, digest = grams(word), self.slots, [], xxhash.xxh3_64_intdigest
             for g in gs:
-                x, y, z = Filters.places(g)
-                masks.append(slots[x] & slots[y] & slots[z])
+                h = digest(g)
+                mask = slots[h & _SLOT]
+                if mask:  # the other slots matter only then
+                    mask &= slots[h >> 19 & _SLOT]
+                    if mask:
+                        mask &= slots[h >> 38 & _SLOT]
+                masks.append(mask)
             part = 0.5 / math.sqrt(len(gs))
             total = np.zeros(len(LANGUAGES))
             for mask, n in Counter(masks).items():
