@@ -1,5 +1,5 @@
-"""The queries of this subpackage, over whole tables with production parameters. None has an SQL twin: they are tested
-against brute force, exact round trips and hand-made cases in tests/llm."""
+"""The queries of this subpackage, over whole tables with production parameters. p3's groups have an SQL twin; the others
+are tested against brute force, exact round trips and hand-made cases in tests/llm."""
 
 from __future__ import annotations
 
@@ -41,5 +41,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SIDE = r"regexp_replace(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[?#].*$', ''), '^(https?:)?(//)?((www|m)\.)*', '', 'i')"
+_TABLES = " UNION ALL ".join(f"SELECT row_id, platform, {'author' if t in ('social_bootstrap',) else 'NULL AS author'}, url FROM {t}" for t in splits.TABLES)
+_HOST = "CASE {h} " + " ".join(f"WHEN '{h}' THEN '{p}'" for h, p in splits.HOSTS.items()) + " ELSE lower(trim(platform)) END"
+_NOBODY = ", ".join(f"'{x}'" for x in splits.NOBODY)
+#: Groups as the closure of 'names what another names', over the smallest record of each account and page.
+_GROUPS = f"""
+WITH RECURSIVE b AS (SELECT row_id, platform, regexp_replace({_SIDE.format(c="coalesce(author, '')")}, '/+$', '') AS a, regexp_replace({_SIDE.format(c="coalesce(url, '')")}, '/+$', '') AS u FROM ({_TABLES})),
+c AS (SELECT *, lower(split_part(u, '/', 1)) AS host, CASE WHEN contains(u, '/') AND contains(split_part(u, '/', 1), '.') THEN substr(u, length(split_part(u, '/', 1)) + 1) ELSE '' END AS path, lower(ltrim(regexp_replace(a, '^.*/', ''), '@')) AS who, CASE WHEN contains(a, '/') AND contains(split_part(a, '/', 1), '.') THEN lower(split_part(a, '/', 1)) END AS ahost FROM b),
+e AS (SELECT *, {_HOST.format(h="host")} AS site, coalesce({_HOST.format(h="ahost")}, '') AS asite FROM c),
+n AS (
+  SELECT row_id, 'a|' || asite || '|' || who AS key FROM e WHERE who NOT IN ({_NOBODY}) AND lower(a) NOT IN ({_NOBODY})
+  UNION SELECT row_id, 'a|' || site || '|' || lower(ltrim(split_part(path, '/', 2), '@')) FROM e WHERE path <> '' AND site IN ('tiktok', 'x') AND lower(ltrim(split_part(path, '/', 2), '@')) NOT IN ({_NOBODY}, 'p', 'place', 'i', 'search', 'hashtag')
+  UNION SELECT row_id, 'p|' || host || '|' || CASE WHEN site IN ('tiktok', 'x') THEN lower(path) ELSE path END FROM e WHERE path <> '' AND NOT (coalesce(site IN ('tiktok', 'x'), FALSE) AND regexp_matches(path, '^/[^/]+$'))),
+m AS MATERIALIZED (SELECT DISTINCT row_id, min(row_id) OVER (PARTITION BY key) AS rep FROM n),
+g AS MATERIALIZED (SELECT row_id AS x, rep AS y FROM m WHERE row_id <> rep UNION SELECT rep, row_id FROM m WHERE row_id <> rep),
+r(x, y) AS (SELECT x, x FROM g UNION SELECT r.x, g.y FROM r JOIN g ON r.y = g.x)
+SELECT x AS row_id, min(y) AS group_id FROM r GROUP BY x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _GROUPS}
