@@ -69,7 +69,7 @@ def dup_clusters(s, d):
 
 
 _FOLD = f"""
-WITH RECURSIVE k AS (SELECT row_id, hash(url) AS u, coalesce(url, '') = '' AS no_url, hash(key) AS t, row_number() OVER (ORDER BY row_id) AS i FROM (SELECT row_id, url, {S.key('text')} AS key FROM social_bootstrap) WHERE key <> ''),
+WITH RECURSIVE k AS MATERIALIZED (SELECT row_id, hash(url) AS u, coalesce(url, '') = '' AS no_url, hash(key) AS t, row_number() OVER (ORDER BY row_id) AS i FROM (SELECT row_id, url, {S.key('text')} AS key FROM social_bootstrap) WHERE key <> ''),
 f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS row_id, []::UBIGINT[] AS ts, []::UBIGINT[] AS us
   UNION ALL SELECT k.i, CASE WHEN keep THEN k.row_id END, CASE WHEN keep THEN list_append(ts, k.t) ELSE ts END, CASE WHEN keep AND NOT no_url THEN list_append(us, k.u) ELSE us END
   FROM (SELECT f.i AS at, ts, us, k.*, NOT (list_contains(ts, k.t) OR (NOT no_url AND list_contains(us, k.u))) AS keep FROM f JOIN k ON k.i = f.i + 1) k)

@@ -67,13 +67,13 @@ def span_paint(s, d):
     return entities.paint(toks, found, "row_id")
 
 
-_VEC = "SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS v FROM embeddings"
+_VEC = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 _PROB = f"SELECT vec_id, list_transform(v, lambda x: exp(x) / list_sum(list_transform(v, lambda y: exp(y)))) AS p FROM ({_VEC})"
 
 
 @query("top2_margin", f"SELECT vec_id, round(list_reverse_sort(p)[1], 6) AS confidence, round(list_reverse_sort(p)[1] - list_reverse_sort(p)[2], 6) AS margin, list_position(p, list_reverse_sort(p)[1])::BIGINT AS guess FROM ({_PROB})")
 def top2_margin(s, d):
-    """Softmax of four scores, the best and its lead."""
-    v = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: F.exp(x.cast("double"))).alias("e"))
+    """Softmax of a vector's scores, the best and its lead."""
+    v = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("e"))
     p = v.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p")).withColumn("q", F.sort_array("p", asc=False))
     return p.select("vec_id", F.round(F.col("q")[0], 6).alias("confidence"), F.round(F.col("q")[0] - F.col("q")[1], 6).alias("margin"), F.array_position("p", F.col("q")[0]).alias("guess"))

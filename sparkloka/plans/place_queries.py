@@ -111,9 +111,14 @@ def gazetteer_match(s, d):
     return places.gazetteer(table(s, d, "weak_labeled"), "row_id", "text", _TERMS).select("row_id", "term", "label").distinct()
 
 
-@query("gazetteer_spans")
+_TERM_ROWS = ", ".join(f"('{t}', '{lab}')" for t, lab in _TERMS)
+_SPANS = rf"""WITH t AS (SELECT row_id, lower(text) AS x FROM weak_labeled WHERE text <> ''), g AS (SELECT * FROM (VALUES {_TERM_ROWS}) AS v(term, label)), p AS (SELECT row_id, x, unnest(generate_series(1, length(x))) AS i FROM t)
+SELECT row_id, i::BIGINT - 1 AS start, i::BIGINT - 1 + length(term) AS stop, label, term FROM p JOIN g ON substr(x, i, length(term)) = term AND (i = 1 OR NOT regexp_matches(substr(x, i - 1, 1), '[\p{{L}}\p{{N}}_]')) AND NOT regexp_matches(substr(x, i + length(term), 1), '[\p{{L}}\p{{N}}_]')"""
+
+
+@query("gazetteer_spans", _SPANS)
 def gazetteer_spans(s, d):
-    """Places of the terms: no SQL twin; the text at each place must be the term."""
+    """Places of the terms."""
     return places.gazetteer(table(s, d, "weak_labeled"), "row_id", "text", _TERMS)
 
 
@@ -123,9 +128,12 @@ def fuzzy_area(s, d):
     return places.fuzzy_area(table(s, d, "social_bootstrap").select("row_id", "text"), "row_id", "text")
 
 
-@query("edit_area", "SELECT DISTINCT area_hint, levenshtein(lower(area_hint), 'lowokwaru')::BIGINT AS distance FROM social_bootstrap WHERE area_hint IS NOT NULL")
+@query("edit_area", f"WITH a AS (SELECT * FROM (VALUES {_AREA_ROWS}) AS v(ord, city, area, key)), h AS (SELECT DISTINCT lower(trim(area_hint)) AS hint FROM social_bootstrap WHERE trim(area_hint) <> '') SELECT hint, area, levenshtein(hint, key)::BIGINT AS distance FROM h CROSS JOIN a QUALIFY row_number() OVER (PARTITION BY hint ORDER BY levenshtein(hint, key), ord) = 1")
 def edit_area(s, d):
-    return table(s, d, "social_bootstrap").filter("area_hint IS NOT NULL").select("area_hint").distinct().select("area_hint", F.levenshtein(F.lower("area_hint"), F.lit("lowokwaru")).cast("long").alias("distance"))
+    """The district with the fewest edits for every distinct hint. The districts are a fixed list in the expression."""
+    h = table(s, d, "social_bootstrap").filter(F.trim("area_hint") != "").select(F.lower(F.trim("area_hint")).alias("hint")).distinct()
+    best = F.array_min(F.array(*[F.struct(F.levenshtein("hint", F.lit(a.lower())).cast("long").alias("distance"), F.lit(i).alias("ord"), F.lit(a).alias("area")) for i, (_, a) in enumerate(AREAS)]))
+    return h.select("hint", best.alias("b")).select("hint", "b.area", "b.distance")
 
 
 _TPL = ", ".join(f"({i}, '{t}', '{n}', {p})" for i, (t, n, p) in enumerate(TEMPLATES))
@@ -149,10 +157,15 @@ def seed_schedule(s, d):
     return q.select("query", F.row_number().over(Window.partitionBy().orderBy("turn", F.desc("priority"), "template_index")).alias("place"))  # 500 rows
 
 
-@query("centroids", "SELECT label, round(avg(embedding[1]), 6) AS lat, round(avg(embedding[2]), 6) AS lng, count(*) AS n FROM embeddings GROUP BY 1")
+_POINTS = _RES[: _RES.index("k AS (SELECT")].rstrip().rstrip(",")
+
+
+@query("centroids", f"{_POINTS} SELECT city, NULL AS area, round(lat, 6) AS lat, round(lng, 6) AS lng FROM cc UNION ALL SELECT city, area, round(lat, 6), round(lng, 6) FROM ac")
 def centroids(s, d):
-    e = table(s, d, "embeddings")
-    return e.groupBy("label").agg(F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("lat"), F.round(F.avg(F.col("embedding")[1].cast("double")), 6).alias("lng"), F.count(F.lit(1)).alias("n"))
+    """Mean points of cities, and of districts by reviews."""
+    _, cities, areas = places.points_of(poi(s, d))
+    both = cities.withColumn("area", F.lit(None).cast("string")).unionByName(areas)
+    return both.select("city", "area", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 _POI = "SELECT doc_id, city, lower(trim(place_name)) AS key, CASE WHEN lower(trim(source)) = 'gmaps_review' THEN 0 ELSE 1 END AS prio FROM documents WHERE place_name IS NOT NULL AND city IS NOT NULL"

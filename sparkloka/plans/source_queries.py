@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkloka.plans.registry import query
+from sparkloka.plans.text_queries import _URLS
 from sparkloka.runtime import shared_dir, table
 from sparkloka.sources import files, pages
 
@@ -46,13 +47,14 @@ def tagged_sentences(s, d):
     return back.select("row_id", (F.col("i") + 1).cast("long").alias("pos"), "token")
 
 
-@query("page_links", "SELECT row_id, url AS page, 'https://' || regexp_replace(regexp_replace(lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)), '^m\\.', ''), '^$', '') || regexp_replace(substr(regexp_replace(url, '^https?://', ''), length(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) + 1), '/+$', '') AS target FROM social_bootstrap WHERE regexp_matches(url, '^https://[A-Za-z.]+/p/[A-Za-z0-9_-]+$')")
+@query("page_links", f"SELECT row_id, canonical AS target FROM ({_URLS}) WHERE regexp_matches(canonical, '^https?://[^/]+/.+')")
 def page_links(s, d):
-    """Anchors of small pages made from the posts' addresses."""
-    t = table(s, d, "social_bootstrap").filter(F.col("url").rlike(r"^https://[A-Za-z.]+/p/[A-Za-z0-9_-]+$")).select("row_id", "url", F.concat(F.lit('<html><a class="x" href="'), "url", F.lit('?utm=1&amp;x=2">a</a><a href=\''), "url", F.lit("'>b</a></html>")).alias("html"))
-    keyed = t.select(F.concat_ws("\u0001", F.col("row_id").cast("string"), "url").alias("u"), "html")
-    out = pages.links(keyed, "u", "html", "^https://[^/]+/p/")
-    return out.select(F.split("u", "\u0001")[0].cast("bigint").alias("row_id"), F.split("u", "\u0001")[1].alias("page"), "target")
+    """Anchors of small pages made from all posts' addresses, each named twice."""
+    u = F.col("url")
+    for x, y in (("&", "&amp;"), ('"', "&quot;"), ("'", "&#39;"), ("<", "&lt;"), (">", "&gt;")):
+        u = F.replace(u, F.lit(x), F.lit(y))
+    t = table(s, d, "social_bootstrap").filter("url IS NOT NULL").select("row_id", F.concat(F.lit('<html><a class="x" href="'), u, F.lit('">a</a><a href=\''), u, F.lit("'>b</a></html>")).alias("html"))
+    return pages.links(t, "row_id", "html", "^https?://[^/]+/.+").select("row_id", "target")
 
 
 @query("sorted_union", "SELECT DISTINCT n FROM (SELECT c_name AS n FROM customer UNION ALL SELECT s_name FROM supplier)")
