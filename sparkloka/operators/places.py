@@ -92,23 +92,48 @@ def relevance(corpus: DataFrame, city: str, scope: list[str], business: str, que
 _NEAR = re.compile(rf"(?:{'|'.join(PROXIMITY)})\s+([a-z]+(?:\s+[a-z]+){{0,2}})")
 _KEYS = {T.keyed(T.normal(a)): (c, a) for c, a in AREAS}
 _CITY_KEYS = {T.keyed(T.normal(c)): c for c in CITIES}
-_LETTERS = {k: frozenset(k) for k in _KEYS}
 
 
 @lru_cache(200_000)
-def close_area(name: str, cutoff: float) -> list[str]:
-    """Keys of the districts whose gestalt ratio with a name is ``cutoff`` or more, the closest first.
-
-    A ratio r leaves at most (1 - r)(a + b) of all letters unmatched, so most districts are told by length and letters."""
-    out = []
-    letters = frozenset(name)
-    for k, own in _LETTERS.items():
-        room = (1 - cutoff) * (len(k) + len(name)) + 1e-9
-        if abs(len(k) - len(name)) <= room and len(own ^ letters) <= room and (r := SequenceMatcher(None, k, name).ratio()) >= cutoff:
-            out.append((r, k))
+def _mask(word: str) -> int:
+    """A bit for each character; some share one."""
+    m = 0
+    for c in word:
+        m |= 1 << (ord(c) & 63)
+    return m
+
+
+@lru_cache(1_000)
+def _near_length(n: int, cutoff: float) -> list[tuple[str, int, float]]:
+    """(key, mask, room) of the districts that a name of n characters can be close to: a ratio r leaves at most
+    (1 - r)(a + b) of all characters unmatched."""
+    room = {k: (1 - cutoff) * (len(k) + n) + 1e-9 for k in _KEYS}
+    return [(k, _mask(k), r) for k, r in room.items() if abs(len(k) - n) <= r]
+
+
+def close_area(name: str, cutoff: float, mask: int | None = None) -> list[str]:
+    """Keys of the districts whose gestalt ratio with a name is ``cutoff`` or more, the closest first."""
+    some = _near_length(len(name), cutoff)
+    if not some:
+        return []
+    m = _mask(name) if mask is None else mask
+    out = [(r, k) for k, own, room in some if (own ^ m).bit_count() <= room and (r := SequenceMatcher(None, k, name).ratio()) >= cutoff]
     return [k for _, k in sorted(out, reverse=True)]
 
 
+def windows(words: list[str]) -> Iterator[tuple[str, int]]:
+    """Every run of one, two and three words with its mask."""
+    masks, space = [_mask(w) for w in words], _mask(" ")
+    for i, w in enumerate(words):
+        yield w, masks[i]
+    for n in (2, 3):
+        for i in range(len(words) - n + 1):
+            m = space
+            for k in masks[i : i + n]:
+                m |= k
+            yield " ".join(words[i : i + n]), m
+
+
 def find_area(text: str, city: str, allowed: frozenset[str] | None = None) -> tuple[str, str, str] | None:
     """(city, district, source) of the district that a text names: right after a proximity word, else anywhere as a
     whole, else misspelled (its first three words at 0.88 or any one to three words at 0.90)."""
@@ -122,9 +147,9 @@ def find_area(text: str, city: str, allowed: frozenset[str] | None = None) -> tu
         if f" {k} " in padded and fits(k):
             return (*_KEYS[k], "text_area_match")
     words = key.split()
-    windows = [(" ".join(words[:3]), 0.88), *((" ".join(words[i : i + n]), 0.9) for n in (1, 2, 3) for i in range(len(words) - n + 1))]
-    for name, cutoff in windows:
-        if name and (k := next(filter(fits, close_area(name, cutoff)), None)):
+    first = " ".join(words[:3])
+    for name, mask, cutoff in ((first, _mask(first), 0.88), *((w, m, 0.9) for w, m in windows(words))):
+        if (close := close_area(name, cutoff, mask)) and (k := next(filter(fits, close), None)):
             return (*_KEYS[k], "text_fuzzy_match")
     return None
 
@@ -257,15 +282,15 @@ def own_terms(rows: DataFrame, id_col: str, text: str, city: str, area: str, nam
 
 def fuzzy_area(rows: DataFrame, id_col: str, text: str, cutoff: float = 0.9) -> DataFrame:
     """(id, window, area, ratio): every run of one to three words of a text with its closest district, by the gestalt
-    ratio of the normalised names, from ``cutoff`` up. Each distinct run of a batch is matched once."""
+    ratio of the normalised names, from ``cutoff`` up. Each distinct run of a text is matched once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, t in zip(pdf["id"], pdf["text"]):
                 words = T.keyed(T.normal(t)).split()
-                for name in dict.fromkeys(" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)):
-                    for k in close_area(name, cutoff)[:1]:
+                for name, mask in dict(windows(words)).items():
+                    for k in close_area(name, cutoff, mask)[:1]:
                         out.append((i, name, _KEYS[k][1], round(SequenceMatcher(None, k, name).ratio(), 6)))
             yield pd.DataFrame(out, columns=["id", "window", "area", "ratio"])
 
