@@ -65,3 +65,30 @@ def sorted_union(s, d):
 @query("orphan_keys", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)")
 def orphan_keys(s, d):
     return files.orphans(table(s, d, "lineitem"), "l_partkey", table(s, d, "part").filter("p_size > 1"), "p_partkey").select("l_orderkey", "l_linenumber")
+
+
+@query("csv_glob", "SELECT row_id, final_signal, city FROM signal_val UNION ALL SELECT row_id, final_signal, city FROM signal_test")
+def csv_glob(s, d):
+    """Two tables written beside each other, default columns first, and read again by one glob."""
+    at = _at(s, "glob")
+    for name in ("signal_val", "signal_test"):
+        files.write_extended(table(s, d, name).select("city", "final_signal", "row_id"), f"{at}/{name}", ["row_id"])
+    back = files.typed(files.read_csv(s, f"{at}/*/*.csv", ["row_id", "city", "final_signal"]), row_id="bigint")
+    return back.select("row_id", F.nullif("final_signal", F.lit("")).alias("final_signal"), F.nullif("city", F.lit("")).alias("city"))
+
+
+@query("json_document", "SELECT city, tz_name FROM city_zones")
+def json_document(s, d):
+    """A small fixed table as one JSON document that holds an array, read again as rows."""
+    at = f"{_at(s, 'document')}.json"
+    zones = table(s, d, "city_zones").select("city", "tz_name")
+    rows = zones.agg(F.to_json(F.collect_list(F.struct("city", "tz_name"))).alias("j")).first()["j"]  # one row a zone
+    files.write_document(s, at, rows)
+    return files.read_json_array(s, at, zones.schema)
+
+
+@query("maps_search", "SELECT doc_id, 'https://www.google.com/maps/search/?api=1&query=' || replace(replace(replace(url_encode(place_name), '%20', '+'), '%2A', '*'), '~', '%7E') AS link FROM documents WHERE place_name IS NOT NULL")
+def maps_search(s, d):
+    from sparkloka.functions import text as T
+
+    return table(s, d, "documents").filter("place_name IS NOT NULL").select("doc_id", T.maps_search_url(F.col("place_name")).alias("link"))
